@@ -193,6 +193,10 @@ def _coarse(sorts: str) -> Column:
     return F.array_distinct(F.transform(F.col(sorts), lambda s: F.when(s.startswith("word "), F.lit("word")).otherwise(s)))
 
 
+def _at(path: str):
+    return lambda e: e["path"] == path
+
+
 def consistent_table(lines: DataFrame, columns: dict[str, tuple[str, list[str]]], keep: list[str] | None = None) -> DataFrame:
     """All lines as one typed table, with what could not be cast.
 
@@ -207,7 +211,7 @@ def consistent_table(lines: DataFrame, columns: dict[str, tuple[str, list[str]]]
     df = path_values(lines, keep=keep)
     out, failures = [], []
     for name, (sql, paths) in columns.items():
-        hits = F.flatten(F.array(*[F.filter("entries", lambda e, p=p: e["path"] == p) for p in paths]))
+        hits = F.flatten(F.array(*[F.filter("entries", _at(p)) for p in paths]))
         first = F.get(hits, 0)
         text = F.when(first["type"].isin("object", "array"), first["raw"]).otherwise(first["value"])
         out.append(text.try_cast(sql).alias(name))
