@@ -521,9 +521,18 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
 
 
 def fit_sample(documents: DataFrame, limit: int = TRAINING_DOCUMENTS) -> Model:
-    """The model fitted on at most ``limit`` documents, chosen by a hash of doc_id and so the same at every call."""
-    rows = documents.where("text is not null and text <> ''").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(limit)
-    return fit([r["text"] for r in rows.collect()])
+    """The model fitted on at most ``limit`` documents, chosen by a hash of doc_id and so the same at every call.
+
+    The hash threshold comes from the number of documents, so the driver receives about ``limit`` texts
+    however large the corpus and however many its partitions.
+    """
+    texts = documents.where("text is not null and text <> ''")
+    n = texts.count()
+    sample = texts.select("text", F.xxhash64("doc_id").alias("h"))
+    if n > limit:
+        share = 0.9 * limit / n  # ids are spread evenly: more than limit is out of reach
+        sample = sample.where(F.col("h") < int(-(1 << 63) + share * (1 << 64)))
+    return fit([r["text"] for r in sample.limit(limit).collect()])
 
 
 _UNITS = "doc_id long, start_pos long, end_pos long"
