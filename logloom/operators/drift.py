@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.storage import materialize
@@ -111,15 +111,13 @@ def preceding_files(files: DataFrame) -> DataFrame:
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ("stream_id", "written_at", "file_id")
     placed = materialize(files.select("file_id", "stream_id", "written_at").repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FILES), "files")
-    ends = placed.groupBy("piece").agg(F.max_by(F.struct("stream_id", "file_id"), "place").alias("end"))  # a row per partition
-    heads = placed.where("place = 0").select("piece", "file_id", "stream_id")
+    # One row per range partition, so ordering them all in one place is bounded by the number of partitions.
+    edge = lambda by: by(F.struct("stream_id", "file_id"), "place")
+    edges = placed.groupBy("piece").agg(edge(F.min_by).alias("head"), edge(F.max_by).alias("end"))
     before = (
-        heads.alias("h")
-        .join(F.broadcast(ends.alias("e")), F.col("e.piece") < F.col("h.piece"))
-        .groupBy("h.file_id", "h.stream_id")
-        .agg(F.max_by("e.end", "e.piece").alias("end"))
-        .where(F.col("end.stream_id") == F.col("stream_id"))
-        .select("file_id", F.col("end.file_id").alias("across"))
+        edges.withColumn("last", F.lag("end").over(Window.orderBy("piece")))
+        .where(F.col("last.stream_id") == F.col("head.stream_id"))
+        .select(F.col("head.file_id").alias("file_id"), F.col("last.file_id").alias("across"))
     )
     return placed.join(F.broadcast(before), "file_id", "left").select("file_id", F.coalesce("previous", "across").alias("previous")).where("previous is not null")
 
@@ -140,8 +138,8 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     entry = F.explode(F.concat(F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("type"), F.lit("").alias("value"), F.lit("").alias("raw"))), F.col("entries")))
     stats = materialize(
         rows.select("file_id", "stream_id", "written_at", "kind", entry.alias("e"))
-        .groupBy("file_id", "kind", F.col("e.path").alias("path"), F.col("e.type").alias("type"), F.when(F.col("e.path") != "", value_sort(F.col("e.type"), F.col("e.value"))).alias("sort"))
-        .agg(F.count("*").alias("n"), F.min("stream_id").alias("stream_id"), F.min("written_at").alias("written_at")),
+        .groupBy("file_id", "stream_id", "written_at", "kind", F.col("e.path").alias("path"), F.col("e.type").alias("type"), F.when(F.col("e.path") != "", value_sort(F.col("e.type"), F.col("e.value"))).alias("sort"))
+        .agg(F.count("*").alias("n")),  # text in the keys, not in the aggregates: a hash aggregate without a sort
         "path-statistics",
     )
     files = stats.where("path = ''").groupBy("file_id").agg(F.min("stream_id").alias("stream_id"), F.min("written_at").alias("written_at"), F.collect_set("kind").alias("file_kinds"))
