@@ -315,7 +315,7 @@ def candidates(text: str, first: int, end: int) -> list[Candidate]:
                 continue
             if ellipsis:
                 out.append(Candidate(j, _upper(lead)))
-            elif whole and text[opened] in _BRACKETS:
+            elif (whole and text[opened] in _BRACKETS) or _upper(lead) or lead.isdigit() or mark == "`":
                 out.append(Candidate(j, True))
             else:
                 out.append(Candidate(j, None, _features("", "", word, mark, True), ("", word)))
@@ -366,7 +366,7 @@ def _sentence_start(text: str, first: int, done: list[Candidate]) -> int:
 NAMES = (
     "bias", "followed abbreviation", "ending abbreviation", "inner stop", "single letter", "number before", "short before", "lower before", "upper before", "closed before",
     "upper next", "lower next", "digit next", "caseless next", "code next", "opening next", "month after number", "number after abbreviation", "file-like next", "followed and upper next",
-    "ending and upper next", "ending and lower next", "number and lower next", "long before", "dot next", "numbered before", "single letter and starter", "starter", "never starts", "before is mostly inside", "caseless before",
+    "ending and upper next", "ending and lower next", "number and lower next", "long before", "dot next", "numbered before", "single letter and starter", "starter", "never starts", "before is mostly inside", "caseless before", "starter in lower case",
 )
 
 
@@ -376,18 +376,19 @@ def _features(token: str, earlier: str, word: str, mark: str, closed: bool) -> t
     lead = word[:1] or mark or " "
     number = bool(token) and token[-1].isdigit()
     followed, ending = low in FOLLOWED, low in ENDING
-    upper, lower, digit = _upper(lead), lead.islower(), lead.isdigit()
+    code = mark == "`"  # the case of inline code says nothing
+    upper, lower, digit = not code and _upper(lead), not code and lead.islower(), not code and lead.isdigit()
     single = len(low) == 1 and low.isalpha()
     caseless = not upper and not lower and lead.isalpha()
     return (
         1.0, followed, ending, "." in low and low.replace(".", "").isalpha() and not ending, single, number, len(low) <= 3 and not number, token[:1].islower(), token[:1].isupper(), closed,
-        upper, lower, digit, caseless, mark == "`", mark in "([{\"'“«„「『（¿¡", number and word.lower() in MONTHS, followed and digit, "." in word or "/" in word, followed and upper,
+        upper, lower, digit, caseless, code, mark in "([{\"'“«„「『（¿¡", number and word.lower() in MONTHS, followed and digit, "." in word or "/" in word, followed and upper,
         ending and upper, ending and lower, number and lower, len(low) >= 5, mark == ".", number and earlier.lower().rstrip(".") in FOLLOWED, single and upper,
-        0.0, 0.0, 0.0, bool(token) and token[-1].isalpha() and not token[-1].islower() and not token[-1].isupper(),
+        0.0, 0.0, 0.0, bool(token) and token[-1].isalpha() and not token[-1].islower() and not token[-1].isupper(), float(lower),
     )
 
 
-_STARTER, _NEVER, _INSIDE = NAMES.index("starter"), NAMES.index("never starts"), NAMES.index("before is mostly inside")
+_STARTER, _NEVER, _INSIDE, _LOWER = (NAMES.index(n) for n in ("starter", "never starts", "before is mostly inside", "starter in lower case"))
 
 
 def _plain(word: str) -> str:
@@ -412,6 +413,7 @@ class Model:
         s = self.starts.get(word, 0)
         f[_STARTER] = float(np.log1p(s)) / 3
         f[_NEVER] = float(s == 0 and word[:1].islower())
+        f[_LOWER] *= f[_STARTER]
         i, o = self.inside.get(before, 0), self.stops.get(before, 0)
         f[_INSIDE] = (i - o) / (i + o + 2)
         return tuple(f)
@@ -433,7 +435,8 @@ class Model:
 def fit(texts: list[str], rounds: int = 400, ridge: float = 1e-3) -> Model:
     """Fits the classifier on reliable stops of ``texts``.
 
-    Reliable ends: the last stop of a block, joined with the first word of another block of the same text.
+    Reliable ends: the last stop of a block, joined with the first word of another block of the same text; a
+    stop between a plain word and a capitalised word that often starts blocks.
     Reliable insides: a stop whose next word is in lower case and never starts a block, or whose word is a
     known abbreviation before a digit or a lower-case letter. All other stops teach nothing.
     """
@@ -445,6 +448,7 @@ def fit(texts: list[str], rounds: int = 400, ridge: float = 1e-3) -> Model:
             if kind in ("code", "heading"):
                 continue
             body = _sentence_start(text, first, [])
+            first = body if kind == "item" else first
             mark, word = _next_word(text, body, end)
             leads.append((mark, word))
             tail = text[first:end].rstrip()
@@ -468,6 +472,8 @@ def fit(texts: list[str], rounds: int = 400, ridge: float = 1e-3) -> Model:
             elif before.rstrip(".") in FOLLOWED or word.lower() in MONTHS and before[-1:].isdigit():
                 reliable.append((c, 0))
                 inside[before] += 1
+            elif starts[_plain(word)] >= 5 and word[:1].isupper() and len(before) >= 3 and before.isalpha() and before.islower() and not known:
+                reliable.append((c, 1))
     # An end of a block says nothing about numbers: any word may stand there, so counts of numbers are left out.
     inside = Counter({w: n for w, n in inside.items() if w and not w[-1].isdigit()})
     stops = Counter({w: n for w, n in stops.items() if w and not w[-1].isdigit()})
@@ -512,7 +518,8 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
     for first, end, kind in blocks(text):
         at = first
         if kind not in ("code", "heading"):
-            for c in candidates(text, first, end):
+            body = _sentence_start(text, first, []) if kind == "item" else first  # the stop of a marker ends nothing
+            for c in candidates(text, body, end):
                 if model.ends(c):
                     put(at, c.end)
                     at = c.end
