@@ -23,27 +23,28 @@ def _kind(entries: Column, known: tuple[str, ...]) -> Column:
     return F.coalesce(F.get(F.transform(named, lambda e: e["value"]), 0), F.lit(""))
 
 
-def _entries(source: str, prefix: str) -> str:
-    """SQL: the non-null fields of a variant object as structs of path, raw type and value (text of leaves, keys of containers)."""
-    schema = "schema_of_variant(e.value)"
+def _entries(source: str, prefix: str, raw: bool) -> str:
+    """SQL: the non-null fields of a variant object as structs of path, raw type and value (text of leaves, schema of containers)."""
+    fields = f"map_entries(coalesce(try_variant_get({source}, '$', 'map<string,variant>'), cast(map() as map<string,variant>)))"
+    typed = f"transform({fields}, e -> named_struct('key', e.key, 'value', e.value, 'is', coalesce(schema_of_variant(e.value), 'VOID')))"  # the schema of a value is found once
     return (
-        f"transform(filter(map_entries(coalesce(try_variant_get({source}, '$', 'map<string,variant>'), cast(map() as map<string,variant>))), e -> e.value is not null and {schema} <> 'VOID'), e -> named_struct("
+        f"transform(filter({typed}, e -> e.is <> 'VOID'), e -> named_struct("
         f"'path', concat('{prefix}', e.key), "
-        f"'type', case when {schema} like 'OBJECT%' then 'object' when {schema} like 'ARRAY%' then 'array' when {schema} = 'STRING' then 'string' when {schema} = 'BOOLEAN' then 'boolean' else 'number' end, "
-        f"'value', case when {schema} like 'OBJECT%' or {schema} like 'ARRAY%' then {schema} else try_variant_get(e.value, '$', 'string') end, "
-        f"'raw', to_json(e.value)))"
+        "'type', case when e.is = 'STRING' then 'string' when startswith(e.is, 'OBJECT') then 'object' when startswith(e.is, 'ARRAY') then 'array' when e.is = 'BOOLEAN' then 'boolean' else 'number' end, "
+        "'value', case when startswith(e.is, 'OBJECT') or startswith(e.is, 'ARRAY') then e.is else try_variant_get(e.value, '$', 'string') end"
+        + (", 'raw', to_json(e.value)))" if raw else "))")
     )
 
 
-def path_values(lines: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
-    """Lines -> ``keep`` columns, ``kind`` (record kind / payload kind) and ``entries`` (path, type, value, raw).
+def path_values(lines: DataFrame, body: str = "body", keep: list[str] | None = None, raw: bool = False) -> DataFrame:
+    """Lines -> ``keep`` columns, ``kind`` (record kind / payload kind) and ``entries`` (path, type, value, and raw JSON if asked for).
 
     Paths are top-level fields and direct fields of ``payload``; null values are no entries. NULL, empty and
     unreadable lines, and lines that are no object, give no row.
     """
     keep = keep if keep is not None else [c for c in lines.columns if c != body]
     df = lines.select(*keep, F.try_parse_json(F.col(body)).alias("__v")).where("__v is not null and schema_of_variant(__v) like 'OBJECT%'")
-    df = df.withColumn("__top", F.expr(_entries("__v", ""))).withColumn("__pay", F.expr(_entries("try_variant_get(__v, '$.payload', 'variant')", "payload.")))
+    df = df.withColumn("__top", F.expr(_entries("__v", "", raw))).withColumn("__pay", F.expr(_entries("try_variant_get(__v, '$.payload', 'variant')", "payload.", raw)))
     return df.select(
         *keep,
         F.concat(_kind(F.col("__top"), RECORD_KINDS), F.lit("/"), _kind(F.col("__pay"), PAYLOAD_KINDS)).alias("kind"),
@@ -135,7 +136,7 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     known = lines.where("file_id is not null and stream_id is not null and written_at is not null").select(F.col("file_id").cast("long").alias("file_id"), "stream_id", "written_at", "body")
     rows = path_values(known, keep=["file_id", "stream_id", "written_at"])
     # One pass over the lines: statistics per file, kind, path, type and sort of value; the path '' stands for the line itself.
-    entry = F.explode(F.concat(F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("type"), F.lit("").alias("value"), F.lit("").alias("raw"))), F.col("entries")))
+    entry = F.explode(F.concat(F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("type"), F.lit("").alias("value"))), F.col("entries")))
     stats = materialize(
         rows.select("file_id", "stream_id", "written_at", "kind", entry.alias("e"))
         .groupBy("file_id", "stream_id", "written_at", "kind", F.col("e.path").alias("path"), F.col("e.type").alias("type"), F.when(F.col("e.path") != "", value_sort(F.col("e.type"), F.col("e.value"))).alias("sort"))
@@ -206,7 +207,7 @@ def consistent_table(lines: DataFrame, columns: dict[str, tuple[str, list[str]]]
     clash = set(keep) & {*columns, "failed_casts"}
     if clash:
         raise ValueError(f"columns named twice: {sorted(clash)}")
-    df = path_values(lines, keep=keep)
+    df = path_values(lines, keep=keep, raw=True)
     out, failures = [], []
     for name, (sql, paths) in columns.items():
         hits = F.flatten(F.array(*[F.filter("entries", _at(p)) for p in paths]))
