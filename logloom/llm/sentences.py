@@ -31,6 +31,7 @@ FOLLOWED = frozenset(
     janv févr juil déc ene abr ago dic okt dez""".split()
 )
 ENDING = frozenset("etc usw a.m p.m u.a u.s.w et.al al inc ltd corp co jr sr т.д т.п др и.т.д min sec hr hrs ff u.ä o.ä ee.uu s.a с.г н.э и.др et.al руб тыс млн km kg".split())
+_SPELLED_APART = FOLLOWED | ENDING
 MONTHS = frozenset(
     "januar februar märz april mai juni juli august september oktober november dezember jänner jahrhundert jahrestag января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
 )
@@ -55,7 +56,7 @@ def _re():
         "quote": re.compile(r"[ \t]*>"),
         "marks": re.compile(r"[ \t]*(?:>[ \t]?)+"),
         "code": re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S),
-        "address": re.compile(r"[a-z][a-z+.-]*://[^\s<>\"'“”«»]+"),
+        "address": re.compile(r"(?<![a-z+.-])[a-z][a-z+.-]{0,15}://[^\s<>\"'“”«»]+"),
         "candidate": re.compile(rf"[{_STOPS}]+|(?<=[฀-๿])[ \t \r\n]+(?=[฀-๿])"),
         "digits": re.compile(r"\d+"),
     }
@@ -182,6 +183,7 @@ def _enclosed(text: str, first: int, end: int) -> tuple[list[tuple[int, int]], l
     code.sort()
     skip = iter([*code, (end, end)])
     a, b = next(skip)
+    last: dict[str, int] = {}  # of each closing mark the last place in the block
     stack: list[tuple[str, int]] = []
     pairs: list[tuple[int, int]] = []
     i = first
@@ -200,14 +202,16 @@ def _enclosed(text: str, first: int, end: int) -> tuple[list[tuple[int, int]], l
             before, after = text[i - 1 : i] if i > first else " ", text[i + 1 : i + 2]
             if (not before or before.isspace() or before in "([{（「『“«—–-:") and after and not after.isspace():
                 # an opening mark needs its closing one in the block
-                j = text.find(ch, i + 1, end)
-                while j >= 0 and (text[j - 1].isspace() or (ch == "'" and text[j + 1 : j + 2].isalnum())):
-                    j = text.find(ch, j + 1, end)
-                if j >= 0:
+                if ch not in last:
+                    j = text.rfind(ch, i + 1, end)
+                    while j >= 0 and (text[j - 1].isspace() or (ch == "'" and text[j + 1 : j + 2].isalnum())):
+                        j = text.rfind(ch, i + 1, j)
+                    last[ch] = j
+                if last[ch] > i:
                     stack.append((ch, i))
-        elif ch in _PAIRS and text.find(_PAIRS[ch], i + 1, end) >= 0 and (ch != "‘" or i == first or not text[i - 1].isalnum()):
+        elif ch in _PAIRS and last.setdefault(_PAIRS[ch], text.rfind(_PAIRS[ch], i + 1, end)) > i and (ch != "‘" or i == first or not text[i - 1].isalnum()):
             stack.append((_PAIRS[ch], i))
-        elif ch in ")]}）」』》”»" and any(s == ch for s, _ in stack):  # an inner mark was never closed
+        elif ch in ")]}）」』》”»" and any(s == ch for s, _ in stack[-50:]):  # an inner mark was never closed
             while stack[-1][0] != ch:
                 stack.pop()
             pairs.append((stack.pop()[1], i + 1))
@@ -337,6 +341,10 @@ def candidates(text: str, first: int, end: int) -> list[Candidate]:
             out.append(Candidate(j, True))
             continue
         token, earlier = _word_before(text, first, s)
+        if token[-1:].isdigit() and word.lower() in MONTHS:
+            continue  # an ordinal
+        if 0 < len(token) <= 3 and f"{token}.{word}".lower() in _SPELLED_APART:
+            continue  # between the parts of one abbreviation
         out.append(Candidate(j, None, _features(token, earlier, word, mark, bool(tail)), (token.lower(), word)))
     return out
 
@@ -469,7 +477,7 @@ def fit(texts: list[str], rounds: int = 400, ridge: float = 1e-3) -> Model:
             if (word[:1].islower() and not starts[_plain(word)]) or (known and (word[:1].islower() or (word[:1].isdigit() and before in FOLLOWED))):
                 reliable.append((c, 0))
                 inside[before] += 1
-            elif before.rstrip(".") in FOLLOWED or word.lower() in MONTHS and before[-1:].isdigit():
+            elif before.rstrip(".") in FOLLOWED:
                 reliable.append((c, 0))
                 inside[before] += 1
             elif starts[_plain(word)] >= 5 and word[:1].isupper() and len(before) >= 3 and before.isalpha() and before.islower() and not known:
