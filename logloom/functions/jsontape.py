@@ -60,6 +60,7 @@ class Tape:
     place: np.ndarray
     value: np.ndarray
     readable: np.ndarray
+    backslashes: np.ndarray
 
     def raw(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -93,22 +94,19 @@ class Tape:
     def __post_init__(self):
         self._escaped_keys: dict[str, np.ndarray] = {}
         keys = np.flatnonzero(self.value & (self.key >= 0) & self.readable[self.text])
-        if len(keys) and self._backslashes is not None:
+        if len(keys) and len(self.backslashes):
             k = self.key[keys]
-            has = np.searchsorted(self._backslashes, self.end[k]) > np.searchsorted(self._backslashes, self.start[k])
+            has = np.searchsorted(self.backslashes, self.end[k]) > np.searchsorted(self.backslashes, self.start[k])
             for i in keys[has]:
                 name = json.loads(self.raw(self.key[i]))
                 self._escaped_keys[name] = np.append(self._escaped_keys.get(name, np.empty(0, np.int64)), i)
 
-    _backslashes: np.ndarray | None = None
-
 
 def index(data: np.ndarray, offsets: np.ndarray) -> Tape:
     """``data``: the bytes of all texts, ``offsets``: where each starts, and the end of the last."""
     n, starts, ends = len(offsets) - 1, offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
     base = int(offsets[0])
-    if base:
-        data, starts, ends = data[base : offsets[-1]], starts - base, ends - base
+    data, starts, ends = data[base : offsets[-1]], starts - base, ends - base  # buffers may be longer than their texts
     full = starts < ends
     readable = full.copy()
     firsts = np.zeros(len(data) + 1, bool)
@@ -255,10 +253,7 @@ def index(data: np.ndarray, offsets: np.ndarray) -> Tape:
     if len(closes):
         c = closes[has_parent[closes]]
         end[parent[c]] = end[c]
-    tape = Tape.__new__(Tape)
-    tape._backslashes = slashes if len(slashes) else None
-    Tape.__init__(tape, data, kind, pos, end, text, parent, key, place, value, readable)
-    return tape
+    return Tape(data, kind, pos, end, text, parent, key, place, value, readable, slashes)
 
 
 def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:
