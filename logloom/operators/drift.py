@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.variants import json_objects, once
 from logloom.storage import materialize
 
 #: The kinds of record and of payload that runtimes write, by which a line's kind is known whatever the field is called.
@@ -43,8 +44,9 @@ def path_values(lines: DataFrame, body: str = "body", keep: list[str] | None = N
     unreadable lines, and lines that are no object, give no row.
     """
     keep = keep if keep is not None else [c for c in lines.columns if c != body]
-    df = lines.select(*keep, F.try_parse_json(F.col(body)).alias("__v")).where("__v is not null and schema_of_variant(__v) like 'OBJECT%'")
-    df = df.withColumn("__top", F.expr(_entries("__v", "", raw))).withColumn("__pay", F.expr(_entries("try_variant_get(__v, '$.payload', 'variant')", "payload.", raw)))
+    df = json_objects(lines, body, keep, "__v")
+    both = F.struct(F.expr(_entries("__v", "", raw)).alias("top"), F.expr(_entries("try_variant_get(__v, '$.payload', 'variant')", "payload.", raw)).alias("pay"))
+    df = df.select(*keep, once(both).alias("__e")).select(*keep, F.col("__e.top").alias("__top"), F.col("__e.pay").alias("__pay"))
     return df.select(
         *keep,
         F.concat(_kind(F.col("__top"), RECORD_KINDS), F.lit("/"), _kind(F.col("__pay"), PAYLOAD_KINDS)).alias("kind"),

@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.variants import json_objects
 from logloom.storage import materialize, scratch
 
 #: Deliveries that are deduplicated together before the shuffle.
@@ -33,8 +34,7 @@ def line_deliveries(lines: DataFrame) -> DataFrame:
     or odd apiBlockIndex counts as 0, a NULL batch_no as lower than any.
     """
     return (
-        lines.where("session_id is not null and session_id <> '' and message is not null")
-        .select("session_id", "batch_no", "line_id", F.try_parse_json("message").alias("v"))
+        json_objects(lines.where("session_id is not null and session_id <> ''"), "message", ["session_id", "batch_no", "line_id"])
         .select(
             F.lit("session_lines").alias("src"),
             "session_id",
@@ -50,8 +50,7 @@ def line_deliveries(lines: DataFrame) -> DataFrame:
 def record_deliveries(records: DataFrame) -> DataFrame:
     """chat_records -> the same columns; copies agree in session and the record's own id."""
     return (
-        records.where("session_id is not null and session_id <> '' and body is not null")
-        .select("session_id", "batch_no", "record_id", F.try_parse_json("body").alias("v"))
+        json_objects(records.where("session_id is not null and session_id <> ''"), "body", ["session_id", "batch_no", "record_id"])
         .select(
             F.lit("chat_records").alias("src"),
             "session_id",

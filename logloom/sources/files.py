@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.variants import json_objects
+
 RUNTIMES = ("claude-code", "codex", "gemini")
 
 
@@ -32,8 +34,7 @@ def text_field(v: str, path: str) -> Column:
 
 def detect_runtime(lines: DataFrame) -> DataFrame:
     """(path, runtime), from the first readable line of each file."""
-    v = lines.withColumn("v", F.try_parse_json("line")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
-    first = v.groupBy("path").agg(F.min_by("line", "pos").alias("line")).withColumn("v", F.try_parse_json("line"))
+    first = json_objects(lines, "line", ["path", "pos", "line"]).groupBy("path").agg(F.min_by("line", "pos").alias("line")).withColumn("v", F.try_parse_json("line"))
     there = lambda p: F.expr(f"try_variant_get(v, '$.{p}', 'variant') is not null")
     other = there("message") | there("payload")
     meta = text_field("v", "sessionId").isNotNull() & text_field("v", "projectHash").isNotNull()

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.variants import json_objects, once
 from logloom.sources.files import basename, final_flags, get, named_results, number_events, text_field
+from logloom.storage import materialize
 
 # How runtimes word the results of calls that never ran.
 NOT_RUN_A = (
@@ -33,7 +35,7 @@ _EVENT = ["path", "at", "kind", "turn", "id", "name", "input", "text", "model",
 
 
 def _objects(lines: DataFrame) -> DataFrame:
-    return lines.select("path", "pos", F.try_parse_json("line").alias("v")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    return json_objects(lines, "line", ["path", "pos"])
 
 
 def _event(df: DataFrame, **columns: Column) -> DataFrame:
@@ -61,94 +63,104 @@ def _finish(events: DataFrame, sessions: DataFrame, runtime: str) -> tuple[DataF
     return events, sessions
 
 
-def _joined(blocks: str, separator: str = "\n") -> Column:
-    """The texts of text blocks, or the text itself; '' for anything else."""
-    return F.expr(
+def _joined_sql(blocks: str, separator: str = "\\n") -> str:
+    """SQL: the texts of text blocks, or the text itself; '' for anything else."""
+    return (
         f"case when schema_of_variant({blocks}) = 'STRING' then try_variant_get({blocks}, '$', 'string') else coalesce(array_join(transform(filter(try_variant_get({blocks}, '$', 'array<variant>'), "
-        f"b -> try_variant_get(b, '$.type', 'string') = 'text'), b -> case when schema_of_variant(try_variant_get(b, '$.text', 'variant')) = 'STRING' then try_variant_get(b, '$.text', 'string') else '' end), '{separator}'), '') end"
+        f"x -> try_variant_get(x, '$.type', 'string') = 'text'), x -> case when schema_of_variant(try_variant_get(x, '$.text', 'variant')) = 'STRING' then try_variant_get(x, '$.text', 'string') else '' end), '{separator}'), '') end"
     )
 
 
+def _joined(blocks: str) -> Column:
+    return F.expr(_joined_sql(blocks))
+
+
+_TEXT_OF = "case when schema_of_variant(try_variant_get({0}, '$.{1}', 'variant')) = 'STRING' then try_variant_get({0}, '$.{1}', 'string') end"
+
+
+def _never_ran_a(said: Column) -> Column:
+    """Whether an error result's text says that its call was refused, interrupted or not accepted."""
+    lead = F.ltrim(said)
+    after = F.ltrim(F.substring(lead, len(TOOL_ERROR_A) + 1, 1 << 30))
+    plain = lead.rlike(HOOK_BLOCKED_A)
+    for prefix in NOT_RUN_A:
+        plain = plain | F.startswith(lead, F.lit(prefix))
+    return F.when(F.startswith(lead, F.lit(TOOL_ERROR_A)), ~F.startswith(after, F.lit("Error: "))).otherwise(plain)
+
+
 def read_a(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runtime A: user, assistant and system lines with content blocks."""
+    """Runtime A: user, assistant and system lines with content blocks.
+
+    Each line is parsed once, into the events that it may hold, and written down; all the rest is windows
+    over the file in one shuffle: turns, streamed blocks, repeated calls, calls that never ran, names of results.
+    """
+    of = lambda name: F.expr(f"coalesce({_TEXT_OF.format('v', name)}, '')")
+    flag = lambda name: F.coalesce(get("v", name, "boolean"), F.lit(False))
     rows = _objects(lines).select(
-        "path",
-        "pos",
-        get("v", "type").alias("type"),
-        get("v", "subtype").alias("subtype"),
-        F.coalesce(text_field("v", "timestamp"), F.lit("")).alias("ts"),
-        F.coalesce(text_field("v", "sessionId"), F.lit("")).alias("sid"),
-        F.coalesce(text_field("v", "cwd"), F.lit("")).alias("cwd"),
-        F.coalesce(get("v", "isSidechain", "boolean"), F.lit(False)).alias("side"),
-        F.coalesce(text_field("v", "agentId"), F.lit("")).alias("agent"),
-        (F.coalesce(get("v", "isMeta", "boolean"), F.lit(False)) | F.coalesce(get("v", "isCompactSummary", "boolean"), F.lit(False))).alias("meta"),
-        text_field("v", "toolDenialKind").alias("denial"),
-        text_field("v", "toolUseResult").alias("use_result"),
-        F.coalesce(text_field("v", "message.id"), F.lit("")).alias("mid"),
-        F.coalesce(text_field("v", "message.model"), F.lit("")).alias("model"),
-        get("v", "message.content", "variant").alias("content"),
+        "path", "pos", get("v", "type").alias("type"), get("v", "subtype").alias("subtype"), of("timestamp").alias("ts"), of("sessionId").alias("sid"), of("cwd").alias("cwd"),
+        flag("isSidechain").alias("side"), of("agentId").alias("agent"), (flag("isMeta") | flag("isCompactSummary")).alias("meta"), of("toolDenialKind").alias("denial"),
+        of("toolUseResult").alias("use_result"), of("message.id").alias("mid"), of("message.model").alias("model"), get("v", "message.content", "variant").alias("content"),
+    )
+    user, assistant = F.col("type") == "user", F.col("type") == "assistant"
+    blocks = F.expr("try_variant_get(content, '$', 'array<variant>')")
+    is_result = "try_variant_get({0}, '$.type', 'string') = 'tool_result'"
+    n_results = F.expr(f"size(filter(coalesce(try_variant_get(content, '$', 'array<variant>'), array()), x -> {is_result.format('x')}))")
+    # One row per block, and one for a line without blocks; what follows sees one block at a time.
+    rows = rows.select("*", F.when(user, n_results).otherwise(0).alias("n_results"), F.posexplode_outer(blocks).alias("i", "b"))
+    t = F.expr("case when schema_of_variant(b) like 'OBJECT%' then try_variant_get(b, '$.type', 'string') end")
+    first = F.coalesce("i", F.lit(0)) == 0
+    kind = (
+        F.when(user & (F.col("n_results") == 0) & ~F.col("meta") & first, "user_prompt")
+        .when(user & (t == "tool_result"), "tool_result")
+        .when(assistant & (t == "text"), "assistant_text")
+        .when(assistant & (t == "tool_use"), "tool_use")
+        .when((F.col("type") == "system") & (F.col("subtype") == "compact_boundary") & first, "compact")
     )
+    # A generator keeps the optimiser from spelling the kind out again in every column that asks for it.
+    rows = rows.select("*", once(kind).alias("kind"))
+    block = lambda name: F.expr(f"coalesce({_TEXT_OF.format('b', name)}, '')")
+    is_kind = lambda k: F.col("kind") == k
+    text = F.when(is_kind("user_prompt"), _joined("content")).when(is_kind("tool_result"), _joined("try_variant_get(b, '$.content', 'variant')")).when(is_kind("assistant_text"), block("text"))
+    slot = F.coalesce(get("b", "apiBlockIndex", "int"), F.col("i")).cast("string")
+    key = F.when(is_kind("assistant_text") & (F.col("mid") != ""), F.concat_ws("\0", "mid", slot)).when(is_kind("tool_use"), F.concat_ws("\0", F.col("mid"), slot, block("id")))
+    rows = rows.select(
+        "path", "pos", "type", "ts", "sid", "cwd", "side", "agent", "kind", text.alias("text"), key.alias("key"),
+        F.struct(F.col("pos").alias("line"), F.when(assistant, 1).otherwise(0).alias("part"), F.coalesce("i", F.lit(0)).alias("index")).alias("at"),
+        F.when(is_kind("tool_use"), block("id")).alias("id"), F.when(is_kind("tool_use"), block("name")).alias("name"), F.when(is_kind("tool_use"), F.expr("to_json(try_variant_get(b, '$.input', 'variant'))")).alias("input"),
+        F.when(is_kind("assistant_text"), F.col("model")).alias("model"), F.when(is_kind("tool_result"), block("tool_use_id")).alias("of"),
+        ((F.col("n_results") == 1) & ((F.col("denial") != "") | (F.col("use_result") == "User rejected tool use"))).alias("marked"),
+        (is_kind("tool_result") & F.coalesce(get("b", "is_error", "boolean"), F.lit(False))).alias("error"),
+    )
+    rows = materialize(rows, "lines-a")
+
     work = F.col("type").isin("user", "assistant")
     sessions = rows.groupBy("path").agg(
-        F.min_by("sid", F.when(F.col("sid") != "", F.col("pos"))).alias("sid"),
-        F.min_by("cwd", F.when(F.col("cwd") != "", F.col("pos"))).alias("cwd"),
+        F.coalesce(F.min_by("sid", F.when(F.col("sid") != "", F.col("pos"))), F.lit("")).alias("sid"),
+        F.coalesce(F.min_by("cwd", F.when(F.col("cwd") != "", F.col("pos"))), F.lit("")).alias("cwd"),
         F.coalesce(F.min(F.when(F.col("ts") != "", F.col("ts"))), F.lit("")).alias("started"),
-        F.coalesce(F.max(F.col("ts")), F.lit("")).alias("ended"),
+        F.coalesce(F.max("ts"), F.lit("")).alias("ended"),
         F.bool_and(F.when(work, F.col("side") & (F.col("agent") != ""))).alias("all_side"),
         F.min(F.when(work, F.col("agent"))).alias("a0"),
         F.max(F.when(work, F.col("agent"))).alias("a1"),
     )
     stem = F.regexp_extract("path", r"([^/]*?)(?:\.jsonl?)?$", 1)
     own = F.coalesce(F.col("all_side") & (F.col("a0") == F.col("a1")), F.lit(False))
-    sid = F.coalesce(F.nullif("sid", F.lit("")), F.when(own, F.lit("")), stem)
-    sessions = sessions.select("path", own.alias("own"), F.when(own, F.concat_ws("/", F.nullif("sid", F.lit("")), "a0")).otherwise(sid).alias("session_id"), F.coalesce("cwd", F.lit("")).alias("cwd"), "started", "ended")
-    rows = rows.join(sessions.select("path", "own"), "path").where(~F.col("side") | F.col("own"))
+    name = F.when(own, F.concat_ws("/", F.nullif("sid", F.lit("")), "a0")).otherwise(F.coalesce(F.nullif("sid", F.lit("")), stem))
+    sessions = sessions.select("path", own.alias("own"), name.alias("session_id"), "cwd", "started", "ended")
 
-    blocks = F.expr("try_variant_get(content, '$', 'array<variant>')")
-    rows = rows.withColumn("blocks", blocks)
-    is_result = "try_variant_get(b, '$.type', 'string') = 'tool_result'"
-    rows = rows.withColumn("n_results", F.expr(f"size(filter(coalesce(blocks, array()), b -> {is_result}))"))
-    prompt = (F.col("type") == "user") & (F.col("n_results") == 0) & ~F.col("meta")
-    rows = rows.withColumn("turn", F.sum(F.when(prompt, 1).otherwise(0)).over(Window.partitionBy("path").orderBy("pos")).cast("int"))
-    exploded = rows.where("type in ('user', 'assistant')").select("*", F.posexplode("blocks").alias("i", "b"))
-
-    prompts = _event(rows.where(prompt), at=_place("pos", 0), kind=F.lit("user_prompt"), turn=F.col("turn"), text=_joined("content"))
-    compacts = _event(rows.where("type = 'system' and subtype = 'compact_boundary'"), at=_place("pos", 0), kind=F.lit("compact"), turn=F.col("turn"))
-
-    results = exploded.where((F.col("type") == "user") & F.expr(is_result)).select(
-        "path", "pos", "i", "turn", "n_results", "denial", "use_result",
-        F.coalesce(text_field("b", "tool_use_id"), F.lit("")).alias("of"),
-        F.coalesce(get("b", "is_error", "boolean"), F.lit(False)).alias("error"),
-        get("b", "content", "variant").alias("c"),
-    ).withColumn("said", _joined("c"))
-    lead = F.ltrim("said")
-    after = F.ltrim(F.expr(f"substring(ltrim(said), {len(TOOL_ERROR_A) + 1})"))
-    by_text = F.when(F.startswith(lead, F.lit(TOOL_ERROR_A)), ~F.startswith(after, F.lit("Error: "))).otherwise(
-        F.expr(" or ".join("startswith(ltrim(said), '{}')".format(p.replace("'", "\\'")) for p in NOT_RUN_A)) | lead.rlike(HOOK_BLOCKED_A)
-    )
-    marked = (F.col("n_results") == 1) & ((F.coalesce("denial", F.lit("")) != "") | F.coalesce(F.col("use_result") == "User rejected tool use", F.lit(False)))
-    results = results.withColumn("never", F.col("error") & (F.col("of") != "") & (marked | F.coalesce(by_text, F.lit(False))))
-    refused = results.where("never").select("path", F.col("of").alias("id")).distinct()
-    answered = _event(results.where("not never"), at=_place("pos", 0, F.col("i")), kind=F.lit("tool_result"), turn=F.col("turn"), tool_use_id=F.col("of"), text=F.col("said"))
-
-    spoken = exploded.where("type = 'assistant'").withColumn("slot", F.coalesce(get("b", "apiBlockIndex", "int"), F.col("i")))
-    # A streamed block is written several times under one message id: it stands at its first place, with its longest text.
-    texts = spoken.where("try_variant_get(b, '$.type', 'string') = 'text'").withColumn("said", F.coalesce(text_field("b", "text"), F.lit("")))
-    key = F.when(F.col("mid") != "", F.concat_ws("\0", "mid", "slot")).otherwise(F.concat_ws("\0", F.lit(""), "pos", "i"))
-    place = F.struct("pos", "i")
-    texts = texts.groupBy("path", key.alias("key")).agg(
-        F.min(F.struct("pos", "i", "turn", "model")).alias("f"), F.max_by("said", F.struct(F.length("said"), -F.col("pos"), -F.col("i"))).alias("text")
-    ).select("path", F.col("f.pos").alias("pos"), F.col("f.i").alias("i"), F.col("f.turn").alias("turn"), F.col("f.model").alias("model"), "text")
-    texts = _event(texts, at=_place("pos", 1, F.col("i")), kind=F.lit("assistant_text"), turn=F.col("turn"), text=F.col("text"), model=F.col("model"))
-    calls = spoken.where("try_variant_get(b, '$.type', 'string') = 'tool_use'").select(
-        "path", "pos", "i", "turn", "mid", "slot", F.coalesce(text_field("b", "id"), F.lit("")).alias("id"), F.coalesce(text_field("b", "name"), F.lit("")).alias("name"),
-        F.expr("to_json(try_variant_get(b, '$.input', 'variant'))").alias("input"),
-    )
-    first = F.row_number().over(Window.partitionBy("path", "mid", "slot", "id").orderBy(place))
-    calls = calls.withColumn("n", first).where("n = 1").join(refused, ["path", "id"], "left_anti")
-    calls = _event(calls, at=_place("pos", 1, F.col("i")), kind=F.lit("tool_use"), turn=F.col("turn"), id=F.col("id"), name=F.col("name"), input=F.col("input"))
-    events = prompts.unionAll(compacts).unionAll(answered).unionAll(texts).unionAll(calls)
-    return _finish(events, sessions, "claude-code")
+    events = rows.join(sessions.select("path", "own"), "path").where((~F.col("side") | F.col("own")) & F.col("kind").isNotNull())
+    events = events.withColumn("never", F.coalesce(F.col("error") & (F.col("of") != "") & (F.col("marked") | _never_ran_a(F.col("text"))), F.lit(False)))
+    file = Window.partitionBy("path").orderBy("at")
+    events = events.withColumn("turn", F.sum(F.when(F.col("kind") == "user_prompt", 1).otherwise(0)).over(file).cast("int"))
+    # A streamed block stands at its first place with its longest text; a repeated call counts once.
+    same = Window.partitionBy("path", "kind", F.coalesce("key", F.to_json("at")))
+    first = F.row_number().over(same.orderBy("at"))
+    longest = F.max_by("text", F.struct(F.length("text"), -F.col("at.line"), -F.col("at.index"))).over(same)
+    events = events.withColumn("nth", first).withColumn("text", F.when(F.col("kind") == "assistant_text", longest).otherwise(F.col("text")))
+    call = Window.partitionBy("path", F.coalesce("id", "of"))
+    refused = F.max(F.when(F.col("never"), 1)).over(call).isNotNull() & (F.coalesce("id", F.lit("")) != "")
+    events = events.withColumn("refused", refused).where(~((F.col("kind").isin("assistant_text", "tool_use")) & (F.col("nth") > 1)) & ~F.col("never") & ~((F.col("kind") == "tool_use") & F.col("refused")))
+    return _finish(events.withColumnRenamed("of", "tool_use_id").select(*_EVENT), sessions, "claude-code")
 
 
 def read_b(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
