@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.instants import instant_micros
+from logloom.functions.variants import json_objects, once
 from logloom.storage import materialize
 
 #: States of the automaton: nothing read, a prompt that waits for its reply, all prompts replied to, broken.
@@ -66,15 +67,13 @@ def messages(lines: DataFrame) -> DataFrame:
 
     Columns: session_id, message_key, message_id, us, is_tool, line_type, has_text, uses, results.
     """
-    v = F.try_parse_json("message")
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))
-    rows = (
+    chosen = (
         lines.where(F.col("session_id").isNotNull() & (F.col("session_id") != "") & F.col("line_type").isin("user", "assistant"))
         .where(~flag("is_meta") & ~flag("is_compact_summary") & ~flag("is_sidechain"))
-        .select("session_id", "line_type", instant_micros(F.col("ts")).alias("us"), v.alias("v"))
-        .where(F.expr("v is not null and schema_of_variant(v) like 'OBJECT%'"))
+        .withColumn("us", instant_micros(F.col("ts")))
     )
-    rows = rows.select(
+    rows = json_objects(chosen, "message", ["session_id", "line_type", "us"]).select(
         "session_id",
         "line_type",
         "us",
@@ -82,14 +81,14 @@ def messages(lines: DataFrame) -> DataFrame:
         F.expr("try_variant_get(v, '$.content', 'variant')").alias("content"),
     )
     block = lambda path: f"try_variant_get(b, '$.{path}', 'string')"
-    rows = rows.withColumn(
-        "blocks",
-        F.expr(
+    rows = rows.select(
+        "*",
+        once(F.expr(
             "transform(coalesce(try_variant_get(content, '$', 'array<variant>'), array(content)), b -> named_struct("
             f"'type', {block('type')}, 'id', {block('id')}, 'of', {block('tool_use_id')}, "
             f"'text', case when schema_of_variant(b) = 'STRING' then try_variant_get(b, '$', 'string') when {block('type')} = 'text' then {block('text')} end))"
-        ),
-    )
+        )).alias("blocks"),
+    )
     key = F.when(
         F.coalesce("id", F.lit("")) == "",
         F.concat(F.lit("\0"), F.xxhash64("us", "line_type", F.to_json("content")).cast("string")),
