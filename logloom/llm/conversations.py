@@ -57,29 +57,52 @@ def _blank(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(text, r"[\s\p{Z}\p{Cf}]+", "")), F.lit("")) == ""
 
 
-def messages(lines: DataFrame) -> DataFrame:
-    """Lines (the columns of ``session_lines``) -> one row per message.
-
-    Left out: lines without session, system, meta, compact-summary and sidechain lines, and lines whose
-    JSON cannot be parsed. Lines of one session with the same ``message.id`` are one message at its
-    earliest instant. A line without an id is a message of its own (equal deliveries of it count once)
-    and carries the id ``''``. A message without any readable instant comes after all others.
-
-    Columns: session_id, message_key, message_id, us, is_tool, line_type, has_text, uses, results.
-    """
+def _counted_lines(lines: DataFrame) -> DataFrame:
+    """(session_id, line_type, us, id, content) of the lines that count, each parsed once."""
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))
     chosen = (
         lines.where(F.col("session_id").isNotNull() & (F.col("session_id") != "") & F.col("line_type").isin("user", "assistant"))
         .where(~flag("is_meta") & ~flag("is_compact_summary") & ~flag("is_sidechain"))
         .withColumn("us", instant_micros(F.col("ts")))
     )
-    rows = json_objects(chosen, "message", ["session_id", "line_type", "us"]).select(
+    return json_objects(chosen, "message", ["session_id", "line_type", "us"]).select(
         "session_id",
         "line_type",
         "us",
         F.expr("try_variant_get(v, '$.id', 'string')").alias("id"),
         F.expr("try_variant_get(v, '$.content', 'variant')").alias("content"),
     )
+
+
+def message_contents(lines: DataFrame) -> DataFrame:
+    """(session_id, message_id, content): the blocks of each message with an id, as JSON texts in order.
+
+    A block that was streamed in several lines counts once, at its earliest instant and with its longest
+    text; deliveries that repeat it add nothing. A plain text is one block.
+    """
+    block = F.expr("coalesce(try_variant_get(content, '$', 'array<variant>'), array(content))")
+    field = lambda name: F.expr(f"try_variant_get(b, '$.{name}', 'string')")
+    rows = _counted_lines(lines).where("id is not null and id <> ''").select("session_id", F.col("id").alias("message_id"), "us", F.posexplode(block).alias("i", "b")).where("b is not null")
+    rows = rows.select(
+        "session_id", "message_id", "us", F.coalesce(F.expr("try_variant_get(b, '$.apiBlockIndex', 'int')"), F.col("i")).alias("slot"),
+        F.concat_ws("\0", F.coalesce(field("type"), F.lit("")), F.coalesce(field("id"), field("tool_use_id"), F.lit(""))).alias("which"), F.to_json("b").alias("json"),
+    )
+    whole = rows.groupBy("session_id", "message_id", "slot", "which").agg(F.min("us").alias("us"), F.max_by("json", F.struct(F.length("json"), "json")).alias("json"))
+    ordered = F.array_sort(F.collect_list(F.struct("slot", "us", "which", "json")))
+    return whole.groupBy("session_id", "message_id").agg(F.transform(ordered, lambda x: x["json"]).alias("content"))
+
+
+def messages(lines: DataFrame) -> DataFrame:
+    """Lines (the columns of ``session_lines``) -> one row per message.
+
+    Left out: lines without session, system, meta, compact-summary and sidechain lines, and lines whose
+    JSON cannot be parsed. Lines of one session with the same ``message.id`` are one message at its
+    earliest instant. A line without an id is a message of its own (equal deliveries of it count once)
+    and carries the id ``''``. A message without any readable instant comes after all others.
+
+    Columns: session_id, message_key, message_id, us, is_tool, line_type, has_text, uses, results.
+    """
+    rows = _counted_lines(lines)
     block = lambda path: f"try_variant_get(b, '$.{path}', 'string')"
     rows = rows.select(
         "*",
@@ -199,7 +222,7 @@ def _read_in_order(batches: Iterator) -> Iterator:
     yield flush()
 
 
-def rebuild_conversations(lines: DataFrame) -> DataFrame:
+def rebuild_conversations(lines: DataFrame, content: bool = False) -> DataFrame:
     """Message rows -> the ordered messages of every whole conversation.
 
     ``lines`` has the columns of ``session_lines``; further columns are ignored. Result: ``session_id,
@@ -207,7 +230,8 @@ def rebuild_conversations(lines: DataFrame) -> DataFrame:
     whose first message is a prompt, with a prompt that has non-blank text, a spoken reply to every prompt
     before the next one, and sound tool links (see :func:`broken_links`). Order: instant, then calls before
     tool messages, then message id. Empty input gives no rows; null ids, texts and stamps are covered in
-    :func:`messages`.
+    :func:`messages`. With ``content`` each row also has its blocks (:func:`message_contents`; NULL for a
+    message without an id); they join at the end, so that only kept messages carry theirs.
     """
     spark = lines.sparkSession
     msgs = materialize(messages(lines), "messages")
@@ -247,10 +271,13 @@ def rebuild_conversations(lines: DataFrame) -> DataFrame:
         ).alias("c"),
     ).select("session_id", "c.piece", F.col("c.before.prompt_id").alias("before_id"), F.col("c.before.steps").alias("before_steps"))
     rows = tagged.where(F.col("speaker").isNotNull()).select("session_id", "piece", "seq", "prompt_id", "steps", "speaker", "message_id")
-    return rows.join(carried, ["session_id", "piece"]).select(
+    out = rows.join(carried, ["session_id", "piece"]).select(
         "session_id",
         F.coalesce("prompt_id", "before_id").alias("prompt_id"),
         F.when(F.col("prompt_id").isNull(), F.col("before_steps") + F.col("seq") + 1).otherwise(F.col("steps")).alias("step_no"),
         "speaker",
         "message_id",
     )
+    if not content:
+        return out
+    return out.join(message_contents(lines), ["session_id", "message_id"], "left").select(*out.columns, "content")

@@ -207,3 +207,65 @@ def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): every document with every item that it leaks; repeated document rows count once."""
     return leak_spans(documents, items).select("doc_id", "item_id").distinct()
+
+
+def placed_tokens(text: str) -> list[tuple[str, int, int]]:
+    """:func:`normalised_tokens` with the span of the text that each stands for.
+
+    Words are found in the text as written and normalised one by one; a symbol that only compatibility
+    folding turns into letters (㈱) has no token here.
+    """
+    import regex
+
+    return [(t, m.start(), m.end()) for m in regex.finditer(r"\p{Han}|[\p{L}\p{M}\p{N}\p{Cf}\p{Variation_Selector}--\p{Han}]+", text, regex.V1) for t in normalised_tokens(m[0])]
+
+
+def leaked_ranges(text: str, automata: tuple[SuffixAutomaton, SuffixAutomaton]) -> tuple[list[tuple[int, int]], int, int]:
+    """(ranges of the text, tokens in them, tokens of the text): the merged leaked spans of a text."""
+    tokens = placed_tokens(text)
+    hit = [False] * len(tokens)
+    for automaton, least in zip(automata, (WORDS, CHARACTERS)):
+        for first, end, _ in automaton.spans([t for t, _, _ in tokens], least):
+            hit[first:end] = [True] * (end - first)
+    ranges: list[tuple[int, int]] = []
+    for k, (_, a, b) in enumerate(tokens):
+        if hit[k]:
+            if k and hit[k - 1] and ranges:
+                ranges[-1] = (ranges[-1][0], b)
+            else:
+                ranges.append((a, b))
+    return ranges, sum(hit), len(tokens)
+
+
+_CLEAN = "doc_id long, text string, removed long, tokens long"
+
+
+def remove_leaks(documents: DataFrame, items: DataFrame, max_coverage: float = 0.5) -> DataFrame:
+    """(doc_id, text, removed, tokens): the documents without their leaked spans.
+
+    Spans of at least WORDS words or CHARACTERS Chinese characters are cut out. A document of which more
+    than ``max_coverage`` leaked has an empty text; a NULL text stays NULL and counts no tokens. Blocks of
+    items are taken one after the other, each over what the one before left.
+    """
+    spark = documents.sparkSession
+    out = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("removed"), F.lit(-1).cast("long").alias("tokens"))
+    for block in _blocks(items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "lang", "text")):
+        shared = spark.sparkContext.broadcast(build(block))
+
+        def cut(batches: Iterator, shared=shared) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                docs, texts, removed, tokens = (c.to_pylist() for c in batch.columns)
+                for k, text in enumerate(texts):
+                    ranges, n, total = leaked_ranges(text or "", shared.value)
+                    tokens[k] = total if tokens[k] < 0 else tokens[k]
+                    removed[k] += n
+                    for a, b in reversed(ranges):
+                        text = text[:a] + text[b:]
+                    texts[k] = text
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "text", "removed", "tokens"])
+
+        out = out.mapInArrow(cut, _CLEAN)
+    too_much = F.col("removed") > F.col("tokens") * max_coverage
+    return out.select("doc_id", F.when(F.col("text").isNotNull() & too_much & (F.col("tokens") > 0), "").otherwise(F.col("text")).alias("text"), "removed", F.greatest("tokens", F.lit(0)).alias("tokens"))

@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.rebuild_conversations(_table(spark, sf, "session_lines"))
 
 
+def p1_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same messages with their content, block by block."""
+    return conversations.rebuild_conversations(_table(spark, sf, "session_lines"), content=True)
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The token ids of every document."""
     return tokens.encode_corpus(_table(spark, sf, "documents").select("doc_id", "text"))
@@ -31,12 +36,17 @@ def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leak_spans(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
 
 
+def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents without their leaked spans."""
+    return leaks.remove_leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """The sentence units of every document."""
     return sentences.sentence_units(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p6_ids, p7_found, p7_spans, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_messages, p6_ids, p7_found, p7_spans, p7_clean, p8_found)}
 
 ORACLES = {
     "p1_found": """

@@ -113,3 +113,13 @@ def test_pieces_compose_like_one_walk():
             for s in symbols[cut:]:
                 right = c.PRODUCT[right][c.OF_SYMBOL[s]]
             assert c.PRODUCT[left][right] == f
+
+
+def test_content_comes_along(spark):
+    lines = rows("s", GOOD)
+    lines[3] = line(3, "s", "assistant", 2, "b", [{"type": "text", "text": "par", "apiBlockIndex": 0}])
+    lines.append(line(9, "s", "assistant", 2, "b", [{"type": "text", "text": "partial", "apiBlockIndex": 0}]))
+    lines.append(line(10, "s", "assistant", 3, "b", [{"type": "text", "text": "second", "apiBlockIndex": 1}]))
+    got = {r["message_id"]: [json.loads(x) for x in r["content"]] for r in c.rebuild_conversations(spark.createDataFrame(lines, COLUMNS), content=True).collect()}
+    assert got["p"] == ["hi"] and [b["text"] for b in got["b"]] == ["partial", "second"]
+    assert got["a"][0]["id"] == "t" and got["r"][0]["tool_use_id"] == "t"

@@ -62,3 +62,23 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     whole = found(spark, docs, items)
     monkeypatch.setattr(l, "BLOCK_TOKENS", 30)
     assert found(spark, docs, items) == whole
+
+
+def test_removal(spark):
+    head = "An opening that nobody leaked, with quite a few words of its own so that it weighs more than all of the rest does here. "
+    docs = [(1, head + PASSAGE.title() + "! An end.", ""), (2, PASSAGE, ""), (3, None, ""), (4, "clean", ""), (5, head * 2 + ZH[:25] + "。", "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, tokens string")
+    i = spark.createDataFrame([(10, "en", PASSAGE), (12, "zh", ZH)], "item_id long, lang string, text string")
+    got = {r["doc_id"]: r for r in l.remove_leaks(d, i).collect()}
+    assert got[1]["text"] == head + "! An end." and got[1]["removed"] == len(PASSAGE.split())
+    assert got[2]["text"] == "" and got[3]["text"] is None and got[4]["text"] == "clean" and got[5]["text"] == head * 2 + "。"
+    clean = spark.createDataFrame([(r["doc_id"], r["text"]) for r in got.values()], "doc_id long, text string")
+    assert l.leaked_items(clean, i).collect() == []
+    assert l.remove_leaks(d, i.limit(0)).where("removed > 0").collect() == []
+
+
+def test_placed_tokens_are_the_tokens():
+    for text in (PASSAGE, ZH, "> The  ​Old **urn**, x1 Straße ﬁx", "", "…"):
+        placed = l.placed_tokens(text)
+        assert [t for t, _, _ in placed] == l.normalised_tokens(text)
+        assert all(a < b for _, a, b in placed)
