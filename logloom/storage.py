@@ -1,7 +1,8 @@
 """Tables written part-way through a job, so that a lost executor never costs more than one stage.
 
-Everything goes below ``spark.checkpoint.dir``, the folder that all executors share. Only where that
-setting is absent (tests, a notebook on one machine) a temporary folder of this machine is used.
+Everything goes below ``spark.checkpoint.dir``, the folder that all executors share. Where that setting is
+absent, a cluster's warehouse folder serves, which is shared too; in local mode (tests, a notebook on one
+machine) a temporary folder of this machine.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or a local one if that is unset."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, or another that suits the master if that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         folder = getattr(shared_folder, "_local", None) or "file://" + tempfile.mkdtemp(prefix="logloom-")
         shared_folder._local = folder
     return folder.rstrip("/")
