@@ -6,6 +6,7 @@ neighbouring files are compared on these statistics alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,8 +41,9 @@ def _entries(source: str, prefix: str, raw: bool) -> str:
 def path_values(lines: DataFrame, body: str = "body", keep: list[str] | None = None, raw: bool = False) -> DataFrame:
     """Lines -> ``keep`` columns, ``kind`` (record kind / payload kind) and ``entries`` (path, type, value, and raw JSON if asked for).
 
-    Paths are top-level fields and direct fields of ``payload``; null values are no entries. NULL, empty and
-    unreadable lines, and lines that are no object, give no row.
+    Paths are top-level fields and direct fields of ``payload``; null values are no entries. With ``raw`` a
+    ``payload`` that is no object is an entry too. NULL, empty and unreadable lines, and lines that are no
+    object, give no row.
     """
     keep = keep if keep is not None else [c for c in lines.columns if c != body]
     df = json_objects(lines, body, keep, "__v")
@@ -50,7 +52,7 @@ def path_values(lines: DataFrame, body: str = "body", keep: list[str] | None = N
     return df.select(
         *keep,
         F.concat(_kind(F.col("__top"), RECORD_KINDS), F.lit("/"), _kind(F.col("__pay"), PAYLOAD_KINDS)).alias("kind"),
-        F.concat(F.filter("__top", lambda e: e["path"] != "payload"), F.col("__pay")).alias("entries"),
+        F.concat(F.filter("__top", lambda e: (e["path"] != "payload") | (F.lit(raw) & (e["type"] != "object"))), F.col("__pay")).alias("entries"),
     )
 
 
@@ -135,16 +137,27 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     files) and hold values of the same sort (:func:`value_sort`), for single words also judged by all files
     that have the paths; of several partners the likeliest on both sides. Empty input gives no rows.
     """
-    known = lines.where("file_id is not null and stream_id is not null and written_at is not null").select(F.col("file_id").cast("long").alias("file_id"), "stream_id", "written_at", "body")
-    rows = path_values(known, keep=["file_id", "stream_id", "written_at"])
-    # One pass over the lines: statistics per file, kind, path, type and sort of value; the path '' stands for the line itself.
+    return changes_between(path_statistics(lines.where(_PLACED)))
+
+
+#: Lines that stand in a file of a stream.
+_PLACED = "file_id is not null and stream_id is not null and written_at is not null"
+
+
+def path_statistics(lines: DataFrame) -> DataFrame:
+    """Lines counted per file, kind, path, type and sort of value in one pass; the path '' stands for the line itself."""
+    rows = path_values(lines.select(F.col("file_id").cast("long").alias("file_id"), "stream_id", "written_at", "body"), keep=["file_id", "stream_id", "written_at"])
     entry = F.explode(F.concat(F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("type"), F.lit("").alias("value"))), F.col("entries")))
-    stats = materialize(
+    return materialize(
         rows.select("file_id", "stream_id", "written_at", "kind", entry.alias("e"))
         .groupBy("file_id", "stream_id", "written_at", "kind", F.col("e.path").alias("path"), F.col("e.type").alias("type"), F.when(F.col("e.path") != "", value_sort(F.col("e.type"), F.col("e.value"))).alias("sort"))
         .agg(F.count("*").alias("n")),  # text in the keys, not in the aggregates: a hash aggregate without a sort
         "path-statistics",
     )
+
+
+def changes_between(stats: DataFrame) -> DataFrame:
+    """The changes of :func:`schema_changes` from the statistics of lines that all stand in a file of a stream."""
     files = stats.where("path = ''").groupBy("file_id").agg(F.min("stream_id").alias("stream_id"), F.min("written_at").alias("written_at"), F.collect_set("kind").alias("file_kinds"))
     pairs = preceding_files(files.drop("file_kinds"))
     by_type = stats.where("path <> ''").groupBy("file_id", "path", "type").agg(F.sum("n").alias("n"), F.collect_set("kind").alias("kinds"), F.collect_set("sort").alias("sorts"))
@@ -194,27 +207,103 @@ def _coarse(sorts: str) -> Column:
     return F.array_distinct(F.transform(F.col(sorts), lambda s: F.when(s.startswith("word "), F.lit("word")).otherwise(s)))
 
 
-def _at(path: str):
-    return lambda e: e["path"] == path
+def _groups(paths: list[str], pairs: list[tuple[str, str]]) -> list[list[str]]:
+    """Paths that renames join, directly or over others; the order of ``paths`` is kept."""
+    head = {p: p for p in paths}
+
+    def find(p: str) -> str:
+        while head[p] != p:
+            p = head[p]
+        return p
+
+    for a, b in pairs:
+        head[find(b)] = find(a)
+    groups: dict[str, list[str]] = {}
+    for p in paths:
+        groups.setdefault(find(p), []).append(p)
+    return list(groups.values())
+
+
+def consistent_columns(lines: DataFrame, keep: list[str], most: int = 1000) -> dict[str, tuple[str, list[str]]]:
+    """The columns for :func:`consistent_table`: one for each field that any line holds, from the statistics over all files.
+
+    Paths that were renamed into each other anywhere are one field, unless they stand side by side in files
+    (in the same kind of record) more often than one gives way to the other. A field's type is that of most of
+    its values (ties: alphabetically first), its name that of its most frequent path. The ``most`` frequent
+    paths get columns, so that names made from data make no boundless table; :func:`consistent_table` reports
+    the values of all others.
+    """
+    stats = path_statistics(lines)
+    held = stats.where("path <> ''")
+    whole = F.coalesce(F.sum(F.when(F.col("sort") == "number fraction", F.col("n"))), F.lit(0)).alias("fractions")
+    counts = held.groupBy("path", "type").agg(F.sum("n").alias("n"), whole)
+    kept = counts.groupBy("path").agg(F.sum("n").alias("lines"), F.collect_list(F.struct("type", "n", "fractions")).alias("types")).orderBy(F.desc("lines"), "path").limit(most).collect()
+    types = {r["path"]: r["types"] for r in kept}
+    pairs = changes_between(stats.where(_PLACED)).where("change_kind = 'renamed'").groupBy("old_path", "new_path").agg(F.count("*").alias("n"))
+    pairs = materialize(pairs.groupBy(F.least("old_path", "new_path").alias("a"), F.greatest("old_path", "new_path").alias("b")).agg(F.sum("n").alias("n")), "renamed-anywhere")
+    stands = held.where(_PLACED).select("file_id", "kind", "path").distinct()
+    beside = pairs.join(stands.withColumnRenamed("path", "a"), "a").join(stands.withColumnRenamed("path", "b"), ["b", "file_id", "kind"]).groupBy("a", "b").agg(F.count_distinct("file_id").alias("beside"))
+    joined = pairs.join(beside, ["a", "b"], "left").where(F.col("n") > F.coalesce("beside", F.lit(0))).select("a", "b").orderBy("a", "b").collect()
+    columns, taken = {}, {k.lower() for k in [*keep, "failed_casts", "other_paths"]}
+    for group in _groups(list(types), [(r["a"], r["b"]) for r in joined if r["a"] in types and r["b"] in types]):
+        votes, fractions = {}, 0
+        for t in (t for p in group for t in types[p]):
+            votes[t["type"]] = votes.get(t["type"], 0) + t["n"]
+            fractions += t["fractions"]
+        kind = min(votes, key=lambda t: (-votes[t], t))
+        base = name = re.sub(r"\W", "_", group[0])
+        n = 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{base}_{n}"
+        taken.add(name.lower())
+        columns[name] = (kind if kind != "number" else "double" if fractions else "bigint", group)
+    return columns
+
+
+def _at(paths: list[str]):
+    return lambda e: e["path"].isin(*paths)
 
 
 def consistent_table(lines: DataFrame, columns: dict[str, tuple[str, list[str]]], keep: list[str] | None = None) -> DataFrame:
-    """All lines as one typed table, with what could not be cast.
+    """All lines as one typed table, with what could not be cast and what has no column.
 
-    ``columns``: name -> (SQL type, paths that hold it, most wanted first). Adds each column, and
-    ``failed_casts``, an array of (column, path, type, value) for values that are there but do not fit; such
-    a column is NULL. Columns that ``keep`` and ``columns`` both name would clash and are refused.
+    ``columns``: name -> (SQL type, paths that hold it, most wanted first); the types ``object`` and ``array``
+    hold JSON text of just that type. Adds each column, ``failed_casts``, an array of (column, path, type,
+    value) for values that are there but do not fit (such a column is NULL), and ``other_paths``, an array of
+    (path, type, value) for values that stand in no column: their path has none, or a more wanted path of the
+    same column holds a value too. Columns that ``keep`` and ``columns`` both name would clash and are refused.
     """
     keep = keep if keep is not None else [c for c in lines.columns if c != "body"]
-    clash = set(keep) & {*columns, "failed_casts"}
+    clash = set(keep) & {*columns, "failed_casts", "other_paths"}
     if clash:
         raise ValueError(f"columns named twice: {sorted(clash)}")
-    df = path_values(lines, keep=keep, raw=True)
+    text = lambda e: F.when(e["type"].isin("object", "array"), e["raw"]).otherwise(e["value"])
+    df = path_values(lines, keep=keep, raw=True).select(*keep, once(F.col("entries")).alias("entries"))
+    found = []
+    for i, (sql, paths) in enumerate(columns.values()):
+        hits = F.filter("entries", _at(paths))
+        if len(paths) > 1:
+            hits = F.array_compact(F.array(*[F.get(F.filter(hits, _at([p])), 0) for p in paths]))
+        found.append(F.get(hits, 0).alias(f"e{i}"))
+    df = df.select("*", once(F.struct(*found) if found else F.struct(F.lit(0).alias("none"))).alias("__found"))
+    cast = []
+    for i, (sql, _) in enumerate(columns.values()):
+        first = F.col(f"__found.e{i}")
+        value = F.when(first["type"] == sql, first["raw"]) if sql in ("object", "array") else text(first).try_cast(sql)
+        cast.append(value.alias(f"c{i}"))
+    df = df.select("*", once(F.struct(*cast) if cast else F.struct(F.lit(0).alias("none"))).alias("__cast"))
     out, failures = [], []
-    for name, (sql, paths) in columns.items():
-        hits = F.flatten(F.array(*[F.filter("entries", _at(p)) for p in paths]))
-        first = F.get(hits, 0)
-        text = F.when(first["type"].isin("object", "array"), first["raw"]).otherwise(first["value"])
-        out.append(text.try_cast(sql).alias(name))
-        failures.append(F.when(text.isNotNull() & text.try_cast(sql).isNull(), F.struct(F.lit(name).alias("column"), first["path"].alias("path"), first["type"].alias("type"), text.alias("value"))))
-    return df.select(*keep, *out, F.array_compact(F.array(*failures)).alias("failed_casts"))
+    for i, name in enumerate(columns):
+        first, value = F.col(f"__found.e{i}"), F.col(f"__cast.c{i}")
+        out.append(value.alias(name))
+        failures.append(F.when(first.isNotNull() & value.isNull(), F.struct(F.lit(name).alias("column"), first["path"].alias("path"), first["type"].alias("type"), text(first).alias("value"))))
+    placed = F.array(*[F.col(f"__found.e{i}") for i in range(len(columns))])
+    others = F.filter("entries", lambda e: ~F.coalesce(F.array_contains(placed, e), F.lit(False))) if columns else F.col("entries")
+    nothing = F.expr("cast(array() as array<struct<column:string,path:string,type:string,value:string>>)")
+    return df.select(
+        *keep,
+        *out,
+        (F.array_compact(F.array(*failures)) if failures else nothing).alias("failed_casts"),
+        F.transform(others, lambda e: F.struct(e["path"].alias("path"), e["type"].alias("type"), text(e).alias("value"))).alias("other_paths"),
+    )

@@ -32,22 +32,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.schema_changes(_table(spark, sf, "rollout_items"))
 
 
-#: The typed columns of one consistent table: SQL type and the paths that hold the value, newest spelling first.
-ROLLOUT_COLUMNS = {
-    "record": ("string", ["type", "record_type", "kind"]),
-    "item": ("string", ["payload.type", "payload.item_type", "payload.kind"]),
-    "call_id": ("string", ["payload.call_id", "payload.callId", "payload.tool_call"]),
-    "tool": ("string", ["payload.name", "payload.tool_name", "payload.tool"]),
-    "exit_code": ("int", ["payload.exit_code"]),
-    "success": ("boolean", ["payload.success"]),
-    "duration_ms": ("double", ["payload.duration_ms"]),
-}
-
-
 def p4_table(spark: SparkSession, sf: str) -> DataFrame:
-    """All rollout lines as one typed table, with what could not be cast as text."""
-    table = drift.consistent_table(_table(spark, sf, "rollout_items"), ROLLOUT_COLUMNS, keep=["item_id", "file_id", "line_no"])
-    return table.withColumn("failed_casts", table["failed_casts"].cast("string"))
+    """All rollout lines as one typed table with every field that any line holds; as text, what could not be cast or has no column."""
+    lines, keep = _table(spark, sf, "rollout_items"), ["item_id", "stream_id", "file_id", "written_at", "line_no"]
+    table = drift.consistent_table(lines, drift.consistent_columns(lines, keep), keep)
+    return table.withColumns({c: table[c].cast("string") for c in ("failed_casts", "other_paths")})
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -73,3 +73,32 @@ def test_consistent_table(spark):
     assert rows[3]["data"] == '{"a":1}'
     with pytest.raises(ValueError):
         d.consistent_table(lines(spark, files), {"line_no": ("int", ["payload.x"])}, keep=["line_no"])
+
+
+def test_table_holds_every_value(spark):
+    call = {"type": "function_call", "call_id": "call_0123456789abcdef", "phase": "final", "n": 1}
+    later = {"type": "function_call", "callId": "call_fedcba9876543210", "phase": "final", "n": 2.5}
+    files = [
+        (1, "s", 1, [item({**call, "usage": {"a": 1}}), item({**call, "usage": {"a": 2}})]),
+        (2, "s", 2, [item({**later, "usage": 7, "line_no": True}), item(later, item_id="x"), item("bare")]),
+        (None, "s", 2, [item({**later, "call_id": "call_00000000", "only_here": [1]})]),
+    ]
+    table = lines(spark, files)
+    keep = ["item_id", "file_id", "line_no"]
+    columns = d.consistent_columns(table, keep)
+    assert columns == {
+        "timestamp": ("string", ["timestamp"]), "type": ("string", ["type"]), "payload_callId": ("string", ["payload.callId", "payload.call_id"]), "payload_n": ("double", ["payload.n"]),
+        "payload_phase": ("string", ["payload.phase"]), "payload_type": ("string", ["payload.type"]), "payload_usage": ("object", ["payload.usage"]),
+        "item_id_2": ("string", ["item_id"]), "payload_line_no": ("boolean", ["payload.line_no"]), "payload_only_here": ("array", ["payload.only_here"]),
+    }
+    rows = {r["item_id"]: r for r in d.consistent_table(table, columns, keep).collect()}
+    assert [rows[i]["payload_callId"] for i in range(4)] == ["call_0123456789abcdef"] * 2 + ["call_fedcba9876543210"] * 2
+    assert rows[0]["payload_usage"] == '{"a":1}' and rows[2]["payload_usage"] is None
+    assert [tuple(x) for x in rows[2]["failed_casts"]] == [("payload_usage", "payload.usage", "number", "7")]
+    assert rows[5]["payload_callId"] == "call_fedcba9876543210" and [tuple(x) for x in rows[5]["other_paths"]] == [("payload.call_id", "string", "call_00000000")]
+    assert [tuple(x) for x in rows[4]["other_paths"]] == [("payload", "string", "bare")]
+    assert rows[5]["payload_only_here"] == "[1]" and rows[3]["item_id_2"] == "x"
+    values = sum(sum(v is not None for v in r[len(keep) : -2]) + len(r["failed_casts"]) + len(r["other_paths"]) for r in rows.values())
+    assert values == sum(len(r["entries"]) for r in d.path_values(table, keep=keep, raw=True).collect())
+    few = {"type": ("string", ["type"]), "n": ("double", ["payload.n"])}
+    assert [len(r["other_paths"]) for r in d.consistent_table(table, few, keep).orderBy("item_id").collect()] == [5, 5, 6, 5, 2, 6]
