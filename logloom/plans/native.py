@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lines_of_a(table: DataFrame) -> DataFrame:
-    """``session_lines`` as (path, pos, line): one file per session, lines in order of their ids.
+def lines_of_a(table: DataFrame, path: Column | None = None) -> DataFrame:
+    """``session_lines`` as (path, pos, line): one file per session (or ``path``), lines in order of their ids.
 
     Rows with an unreadable message lose it; rows without a session are left out.
     """
@@ -15,4 +15,4 @@ def lines_of_a(table: DataFrame) -> DataFrame:
     head = F.to_json(F.struct(*[F.col(c).alias(n) for c, n in names.items()]))
     body = F.when(F.try_parse_json("message").isNotNull(), F.col("message")).otherwise(F.lit("null"))
     line = F.concat(F.expr("substring({0}, 1, length({0}) - 1)".format("head")), F.lit(', "message": '), F.col("body"), F.lit("}"))
-    return table.where("session_id is not null").withColumn("head", head).withColumn("body", body).select(F.col("session_id").alias("path"), F.col("line_id").alias("pos"), line.alias("line"))
+    return table.where("session_id is not null").withColumn("head", head).withColumn("body", body).select((F.col("session_id") if path is None else path).alias("path"), F.col("line_id").alias("pos"), line.alias("line"))

@@ -574,12 +574,39 @@ def shell_segments(spark, sf):
     return p.select("session_id", "pos", F.posexplode("parse.segments").alias("segment", "s")).select("session_id", "pos", "segment", F.array_join("s.tokens", " ").alias("tokens"), "s.program", "s.n_operands", "s.redirected", "s.alone", "s.unsure")
 
 
+def _transcript(spark: SparkSession, sf: str) -> DataFrame:
+    """The transcripts of runtime A as events. Side chains are sessions of their own, as in that runtime's folders; so are lines without a session."""
+    from logloom.plans.native import lines_of_a
+    from logloom.sources.transcripts import read_a
+
+    side = F.coalesce("is_sidechain", F.lit(False))
+    table = _table(spark, sf, "session_lines").withColumns(
+        {
+            "session_id": F.coalesce("session_id", F.concat(F.lit("line-"), F.col("line_id").cast("string"))),
+            "agent_id": F.when(side, F.coalesce(F.nullif("agent_id", F.lit("")), F.lit("side"))).otherwise(F.col("agent_id")),
+        }
+    )
+    return read_a(lines_of_a(table, F.concat_ws("/", "session_id", F.when(side, F.col("agent_id")))))[0]
+
+
+def _readable_inputs(events: DataFrame) -> DataFrame:
+    """Inputs spelled as JSON text are read as what they spell; commands given as lists are joined by blanks."""
+    e = events.withColumn("__i", F.try_parse_json("input"))
+    e = e.withColumn("__i", F.expr("case when schema_of_variant(__i) = 'STRING' then coalesce(try_parse_json(try_variant_get(__i, '$', 'string')), __i) else __i end"))
+    words = "try_variant_get(__i, '$.command', 'array<string>')"
+    fields = "try_variant_get(__i, '$', 'map<string,variant>')"
+    joined = f"to_json(map_concat(map_filter({fields}, (k, v) -> k <> 'command'), map('command', cast(array_join({words}, ' ') as variant))))"
+    return e.withColumn("input", F.expr(f"case when {words} is not null then {joined} else to_json(__i) end")).drop("__i")
+
+
 @query()
 def library_hits(spark, sf):
-    """Hits of the shipped detectors over the shell commands of the transcripts."""
+    """Hits of all shipped detectors over the events of the transcripts."""
     from logloom.detectors import LIBRARY
+    from logloom.storage import materialize
 
-    return measure.find_hits(measure.parsed_events(_commands(spark, sf)), [spec.compile_detector(d) for d in LIBRARY if d.get("event", "tool_use") == "tool_use"])
+    events = materialize(measure.parsed_events(_readable_inputs(_transcript(spark, sf))), "events-parsed")  # read by each detector over sequences
+    return measure.find_hits(events, [spec.compile_detector(d) for d in LIBRARY])
 
 
 @query()
@@ -610,7 +637,4 @@ def bound_rules(spark, sf):
 @query()
 def session_events(spark, sf):
     """The transcripts of runtime A as events in the common schema."""
-    from logloom.plans.native import lines_of_a
-    from logloom.sources.transcripts import read_a
-
-    return read_a(lines_of_a(_table(spark, sf, "session_lines")))[0].drop("input")
+    return _transcript(spark, sf)

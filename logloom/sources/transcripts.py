@@ -101,6 +101,8 @@ def read_a(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         flag("isSidechain").alias("side"), of("agentId").alias("agent"), (flag("isMeta") | flag("isCompactSummary")).alias("meta"), of("toolDenialKind").alias("denial"),
         of("toolUseResult").alias("use_result"), of("message.id").alias("mid"), of("message.model").alias("model"), get("v", "message.content", "variant").alias("content"),
     )
+    # A block that stands alone is read as a list of one.
+    rows = rows.withColumn("content", F.expr("case when schema_of_variant(content) like 'OBJECT%' then to_variant_object(array(content)) else content end"))
     user, assistant = F.col("type") == "user", F.col("type") == "assistant"
     blocks = F.expr("try_variant_get(content, '$', 'array<variant>')")
     is_result = "try_variant_get({0}, '$.type', 'string') = 'tool_result'"
