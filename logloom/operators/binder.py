@@ -165,6 +165,21 @@ def rule_sections(files: DataFrame) -> DataFrame:
     return files.where("text is not null").select("path", "text").mapInArrow(run, _SECTIONS)
 
 
+def heading_slugs(files: DataFrame) -> DataFrame:
+    """(path, line, heading, slug, anchor) of every heading of files (path, text), whatever its length; NULL texts give none."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(path, s["line"], s["heading"], slug(s["heading"]), s["anchor"]) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in sections(text)]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["path", "line", "heading", "slug", "anchor"])
+
+    return files.where("text is not null").select("path", "text").mapInArrow(run, "path string, line int, heading string, slug string, anchor string")
+
+
 def bind_rules(files: DataFrame, shapes: list[tuple[str, str]]) -> DataFrame:
     """(path, anchor, state, detectors, reason) of every rule section; ``shapes``: (detector, pattern at the start of a sentence).
 

@@ -625,6 +625,14 @@ def markdown_units(spark, sf):
     return rule_sections(_table(spark, sf, "documents").where("source = 'rule_file'").select(F.col("doc_id").cast("string").alias("path"), "text"))
 
 
+@query()
+def heading_slugs(spark, sf):
+    """The slug of every heading of all documents, uncut and with letters of every script."""
+    from logloom.operators.binder import heading_slugs as slugs
+
+    return slugs(_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"))
+
+
 @query()
 def bound_rules(spark, sf):
     """Rules of all rule files with their state: bound to one detector, or why not."""
