@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logloom.operators import drift, incremental, nested, redelivery
 
@@ -17,8 +18,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """The general form: every value of every chat record as a row with its parent."""
-    return nested.node_table(_table(spark, sf, "chat_records"), "record_id", "body")
+    """The general form: every value of both transcript tables as a row with its parent."""
+    lines = nested.node_table(_table(spark, sf, "session_lines"), "line_id", "message").select(F.lit("session_lines").alias("src"), "*")
+    return lines.unionAll(nested.node_table(_table(spark, sf, "chat_records"), "record_id", "body").select(F.lit("chat_records").alias("src"), "*"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

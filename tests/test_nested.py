@@ -61,3 +61,15 @@ def test_node_table_rebuilds_the_record(spark):
 
     assert build(0) == value and {r["row_id"] for r in rows} == {1, 4}
     assert all(r["depth"] == nodes[r["parent"]]["depth"] + 1 for r in nodes.values() if r["parent"] >= 0)
+
+
+def test_nodes_of_both_tables(spark, tmp_path):
+    from logloom.plans.records import p2_nodes
+
+    spark.createDataFrame([(5, '{"content": [{"type": "text"}]}'), (6, None)], "line_id long, message string").write.parquet(str(tmp_path / "session_lines.parquet"))
+    spark.createDataFrame([(5, '{"a": 1}')], "record_id long, body string").write.parquet(str(tmp_path / "chat_records.parquet"))
+    got = sorted((r["src"], r["row_id"], r["node"], r["parent"], r["name"], r["value"]) for r in p2_nodes(spark, str(tmp_path)).collect())
+    assert got == [
+        ("chat_records", 5, 0, -1, None, None), ("chat_records", 5, 1, 0, "a", "1"),
+        ("session_lines", 5, 0, -1, None, None), ("session_lines", 5, 1, 0, "content", None), ("session_lines", 5, 2, 1, None, None), ("session_lines", 5, 3, 2, "type", "text"),
+    ]
