@@ -17,5 +17,5 @@ def json_objects(df: DataFrame, text: str, keep: list[str], out: str = "v") -> D
 
     NULL, empty and unreadable texts and other JSON values give no row.
     """
-    candidates = df.where(F.coalesce(F.startswith(F.ltrim(F.regexp_replace(F.substring(text, 1, 64), r"[\n\r\t]", " ")), F.lit("{")), F.lit(False)))
+    candidates = df.where(F.coalesce(F.col(text).rlike(r"^[ \t\r\n]*[{]"), F.lit(False)))  # stops at the first other character
     return candidates.select(*keep, once(F.try_parse_json(F.col(text))).alias(out)).where(F.col(out).isNotNull())
