@@ -1,15 +1,18 @@
 """Messages delivered more than once: an index of identifiers that arriving batches are held against.
 
-An identifier is 128 bits of hash over its parts. The index is a sequence of immutable *runs*, tables of
-(hash prefix, identifier, winning delivery), sorted by identifier inside each prefix. A batch is first
-deduplicated where it lies, piece by piece, so that a message with a third of all deliveries shrinks
-before it moves; what is left is shuffled by hash prefix, binary-searched in the runs from the newest to
-the oldest, and its novel or better identifiers become the next run. Every few batches all runs are
-merged into one. Nothing is ever updated in place, so a lost executor repeats its tasks and no more.
+An identifier is 128 bits of hash over its parts. The index is a folder of immutable *runs*
+(:mod:`logloom.operators.sortedruns`): identifiers with their winning delivery, by hash prefix, sorted. A batch
+is first deduplicated where it lies, piece by piece, so that a message with a third of all deliveries shrinks
+before it moves; what is left, and nothing else, is shuffled by hash prefix. A task opens the run files of its
+prefixes, binary-searches them from the newest run to the oldest, and writes the novel or better identifiers as
+the next run. Full levels of runs are merged prefix by prefix, without a shuffle. Which runs count is published
+by a rename, so a failed batch leaves nothing behind, a lost executor repeats its tasks and no more, and the
+next job goes on where this one ended.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.variants import json_objects
-from logloom.storage import materialize, scratch
+from logloom.operators.sortedruns import PrefixReader, due, merged, newest_first, prefix_of, write_run
+from logloom.storage import forget_versions, latest_version, materialize, publish_version, qualified, remove, scratch
 
 #: Deliveries that are deduplicated together before the shuffle.
 LOCAL_ROWS = 200_000
-#: Runs after which they are merged into one.
+#: Runs of one level after which they are merged into one of the next.
 MERGE_EVERY = 3
+#: Bits of the hash prefix of a new index: 2 ** PREFIX_BITS prefixes.
+PREFIX_BITS = 4
 _IDS = "src string, h1 long, h2 long, batch_no long, row_id long, lost boolean"
 _OUT = "what string, prefix int, src string, h1 long, h2 long, batch_no long, row_id long"
 
@@ -74,25 +80,29 @@ def _identified(df: DataFrame) -> DataFrame:
     )
 
 
-def _winners(h1, h2, batch_no, row_id) -> np.ndarray:
-    """Of each identifier the greatest (batch_no, row_id): a mask."""
-    order = np.lexsort((row_id, batch_no, h2, h1))
-    a, b = h1[order], h2[order]
-    last = np.ones(len(order), bool)
-    last[:-1] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    mask = np.zeros(len(order), bool)
-    mask[order[last]] = True
-    return mask
+def _beaten(h1, h2, batch_no, row_id, order) -> tuple[np.ndarray, np.ndarray]:
+    """Of each identifier the greatest (batch_no, row_id) wins: (winners, beaten), as places; ``order`` sorts by all four.
+
+    The same delivery twice (equal in all four) counts once.
+    """
+    a, b, c, d = (x[order] for x in (h1, h2, batch_no, row_id))
+    same = np.zeros(len(order), bool)
+    same[:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    twice = np.zeros(len(order), bool)
+    twice[:-1] = same[:-1] & (c[1:] == c[:-1]) & (d[1:] == d[:-1])
+    return order[~same], order[same & ~twice]
 
 
 def _local(batches: Iterator) -> Iterator:
     """mapInArrow: marks deliveries that another one of the same piece beats."""
     import pyarrow as pa
 
-    def done(held: list) -> pa.RecordBatch:
+    def done(held: list) -> Iterator:
         table = pa.Table.from_batches(held).combine_chunks()
         h1, h2, b, r = (table[c].to_numpy() for c in ("h1", "h2", "batch_no", "row_id"))
-        return table.append_column("lost", pa.array(~_winners(h1, h2, b, r))).to_batches()[0]
+        for places, lost in zip(_beaten(h1, h2, b, r, np.lexsort((r, b, h2, h1))), (False, True)):
+            part = table.take(pa.array(places))
+            yield from part.append_column("lost", pa.array(np.full(len(places), lost))).combine_chunks().to_batches()
 
     held, rows = [], 0
     for batch in batches:
@@ -100,135 +110,161 @@ def _local(batches: Iterator) -> Iterator:
             held.append(batch)
             rows += batch.num_rows
         if rows >= LOCAL_ROWS:
-            yield done(held)
+            yield from done(held)
             held, rows = [], 0
     if held:
-        yield done(held)
+        yield from done(held)
 
 
-def _search(run: dict[str, np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """Places of identifiers in a sorted run, -1 where absent."""
-    n = len(run["h1"])
-    at = np.searchsorted(run["h1"], h1)
-    found = np.full(len(h1), -1, np.int64)
-    open_ = np.flatnonzero(at < n)
-    while len(open_):
-        open_ = open_[run["h1"][at[open_]] == h1[open_]]
-        hit = run["h2"][at[open_]] == h2[open_]
-        found[open_[hit]] = at[open_[hit]]
-        open_ = open_[~hit]
-        at[open_] += 1
-        open_ = open_[at[open_] < n]
-    return found
+_KEY = ("h1", "h2", "batch_no", "row_id")
 
 
-def _probe(merge: bool):
-    """mapInArrow over one shuffle partition: rows of the runs (``age`` 0, 1, ...) and of the batch (``age`` -1)."""
+def _probe(runs: list[str]):
+    """mapInArrow over a batch sorted by prefix and :data:`_KEY`; ``runs`` from the oldest to the newest.
+
+    One Arrow batch is held at a time, with the row groups of the runs that it reaches into.
+    """
 
     def probe(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ("h1", "h2", "batch_no", "row_id")
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        age = table["age"].to_numpy()
-        col = {c: table[c].to_numpy() for c in names}
-        src = table["src"].combine_chunks()
-        prefix = table["prefix"].to_numpy()
-
-        def rows(what: str, at: np.ndarray) -> pa.RecordBatch:
-            take = pa.array(at)
+        def rows(what: str, prefix: int, cols: dict, src) -> pa.RecordBatch:
+            n = len(cols["h1"])
             return pa.RecordBatch.from_arrays(
-                [pa.array([what] * len(at), pa.string()), pa.array(prefix[at].astype(np.int32)), src.take(take), *(pa.array(col[c][at]) for c in names)],
-                names=["what", "prefix", "src", *names],
+                [pa.array([what] * n, pa.string()), pa.array(np.full(n, prefix, np.int32)), src, *(pa.array(cols[c]) for c in _KEY)], names=["what", "prefix", "src", *_KEY]
             )
 
-        new = np.flatnonzero(age < 0)
-        wins = _winners(*(col[c][new] for c in names))
-        beaten = [new[~wins]]
-        new = new[wins]
-        pending = np.ones(len(new), bool)
-        for a in sorted(set(age[age >= 0].tolist()), reverse=True):  # the newest run knows the present winner
-            at = np.flatnonzero(age == a)
-            at = at[np.lexsort((col["h2"][at], col["h1"][at]))]
-            look = np.flatnonzero(pending)
-            place = _search({c: col[c][at] for c in names[:2]}, col["h1"][new[look]], col["h2"][new[look]])
-            look, old = look[place >= 0], at[place[place >= 0]]
-            this = new[look]
-            better = (col["batch_no"][this] > col["batch_no"][old]) | ((col["batch_no"][this] == col["batch_no"][old]) & (col["row_id"][this] > col["row_id"][old]))
-            beaten += [old[better], this[~better]]
-            pending[look] = False
-            new_dead = look[~better]
-            if len(new_dead):
-                new[new_dead] = -1
-        new = new[new >= 0]
-        if merge:  # all runs and the batch become one run
-            keep = np.concatenate([np.flatnonzero(age >= 0), new])
-            keep = keep[_winners(*(col[c][keep] for c in names))]
-            new = keep
-        new = new[np.lexsort((col["h2"][new], col["h1"][new]))]
-        yield rows("drop", np.concatenate(beaten).astype(np.int64))
-        yield rows("run", new)
+        readers: tuple[int, list] = (-1, [])
+
+        def settle(table: pa.Table) -> Iterator:
+            """Novel and better identifiers of rows of one prefix, each of which is whole."""
+            nonlocal readers
+            prefix = table["prefix"][0].as_py()
+            if readers[0] != prefix:
+                readers = (prefix, [PrefixReader(r, prefix, ["src", "batch_no", "row_id"]) for r in reversed(runs)])
+            col, src = {c: table[c].to_numpy() for c in _KEY}, table["src"].combine_chunks()
+            wins, beaten = _beaten(*(col[c] for c in _KEY), np.arange(len(src)))
+            lost = np.zeros(len(wins), bool)
+            for which, old, place in newest_first(readers[1], col["h1"][wins], col["h2"][wins]):
+                new_b, new_r, old_b, old_r = col["batch_no"][wins[which]], col["row_id"][wins[which]], old["batch_no"][place], old["row_id"][place]
+                better = (new_b > old_b) | ((new_b == old_b) & (new_r > old_r))
+                again = (new_b == old_b) & (new_r == old_r)  # this very delivery was taken before
+                lost[which[~better]] = True
+                beaten = np.concatenate([beaten, wins[which[~better & ~again]]])
+                out = place[better]
+                yield rows("drop", -1, {c: old[c][out] for c in _KEY}, old["src"].take(pa.array(out)))
+            new = wins[~lost]
+            for what, p, at in (("drop", -1, beaten), ("run", prefix, new)):
+                yield rows(what, p, {c: col[c][at] for c in _KEY}, src.take(pa.array(at)))
+
+        open_: pa.Table | None = None  # rows of the last identifier, of which more may come
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([open_, table]) if open_ is not None else table).combine_chunks()
+            prefix, h1, h2 = (table[c].to_numpy() for c in ("prefix", "h1", "h2"))
+            whole = int(np.flatnonzero((prefix != prefix[-1]) | (h1 != h1[-1]) | (h2 != h2[-1]))[-1]) + 1 if (h1 != h1[-1]).any() or (h2 != h2[-1]).any() or (prefix != prefix[-1]).any() else 0
+            edges = [0, *(np.flatnonzero(np.diff(prefix[:whole])) + 1), whole]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    yield from settle(table.slice(a, b - a).combine_chunks())
+            open_ = table.slice(whole)
+            if open_.num_rows > 2:  # one identifier only: its beaten deliveries go at once
+                wins, beaten = _beaten(*(open_[c].to_numpy() for c in _KEY), np.arange(open_.num_rows))
+                gone = open_.take(pa.array(beaten)).combine_chunks()
+                yield rows("drop", -1, {c: gone[c].to_numpy() for c in _KEY}, gone["src"].combine_chunks())
+                open_ = open_.take(pa.array(wins))
+        if open_ is not None and open_.num_rows:
+            yield from settle(open_.combine_chunks())
 
     return probe
 
 
 class IdentifierIndex:
-    """The persisted index. ``prefixes`` is the number of hash prefixes, and so of tasks of a probe.
+    """The persisted index in ``folder`` (a scratch folder by default); a folder that holds one is taken up where it was left.
 
-    Choose it so that the index divided by it fits a task; an entry takes about 100 bytes there. The same
-    index must always be read with the same number.
+    ``prefix_bits`` is fixed when the index is made: an index of N identifiers in P prefixes has files of N / P
+    of them. A task holds an Arrow batch and a row group per run, whatever the size of batch and index. One job
+    writes at a time: of two that publish the same step one fails, and leaves the index as the other made it.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, prefixes: int | None = None, merge_every: int = MERGE_EVERY):
-        self.spark, self.folder = spark, folder or scratch(spark, "identifier-index")
-        self.prefixes = prefixes or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.merge_every, self.runs, self.steps = merge_every, [], 0
+    def __init__(self, spark: SparkSession, folder: str | None = None, prefix_bits: int = PREFIX_BITS, merge_every: int = MERGE_EVERY):
+        self.spark, self.folder = spark, qualified(spark, folder or scratch(spark, "identifier-index"))
+        self.merge_every = merge_every
+        self.state = latest_version(spark, self.folder) or {"version": 0, "prefix_bits": prefix_bits, "runs": [], "batches": {}}
+
+    @property
+    def runs(self) -> list[str]:
+        """The folders of the runs that count, from the oldest to the newest."""
+        return [f"{self.folder}/{r['name']}" for r in self.state["runs"]]
+
+    def _publish(self, **changes) -> None:
+        state = {**self.state, **changes, "version": self.state["version"] + 1}
+        publish_version(self.spark, self.folder, state)
+        self.state = state
+
+    def _dropped(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_OUT).parquet(f"{self.folder}/{name}").where("what = 'drop'").select("src", "row_id")
 
-    def ingest(self, deliveries: DataFrame) -> DataFrame:
+    def ingest(self, deliveries: DataFrame, batch: str | None = None) -> DataFrame:
         """Takes one batch (columns of :func:`line_deliveries`, optionally ``lost``) into the index.
 
         Returns (src, row_id) of the copies to drop: beaten rows of the batch, and rows of earlier batches
-        that a row of this one replaces. An empty batch drops nothing.
+        that a row of this one replaces. An empty batch drops nothing. A delivery that is already in the index
+        changes nothing. A ``batch`` with a name that was published before is not taken again; its drops are
+        returned as they were.
         """
+        if batch is not None and batch in self.state["batches"]:
+            return self._dropped(self.state["batches"][batch])
         if "lost" not in deliveries.columns:
             deliveries = deliveries.mapInArrow(_local, _IDS)
-        cols = ["src", "h1", "h2", "batch_no", "row_id"]
-        prefix = F.pmod(F.shiftrightunsigned("h1", 20), F.lit(self.prefixes)).cast("int").alias("prefix")
-        incoming = deliveries.where("not lost").select(F.lit(-1).alias("age"), prefix, *cols)
-        for age, path in enumerate(self.runs):
-            incoming = incoming.unionAll(self.spark.read.schema(_OUT).parquet(path).where("what = 'run'").select(F.lit(age).alias("age"), "prefix", *cols))
-        self.steps += 1
-        merge = len(self.runs) >= self.merge_every
-        path = f"{self.folder}/run-{self.steps:05d}"
-        probed = incoming.repartitionById(self.prefixes, "prefix").mapInArrow(_probe(merge), _OUT)
-        probed.write.partitionBy("what").option("compression", "zstd").parquet(path)
-        self.runs = [path] if merge else [*self.runs, path]
-        out = self.spark.read.schema(_OUT).parquet(path).where("what = 'drop'").select("src", "row_id")
-        return out.unionAll(deliveries.where("lost").select("src", "row_id"))
-
-
-def redelivered(deliveries: DataFrame, waves: int = 3) -> DataFrame:
+        step = self.state["version"] + 1
+        name = f"run-{step:06d}-{uuid.uuid4().hex[:8]}"
+        prefix = prefix_of("h1", self.state["prefix_bits"]).alias("prefix")
+        # Beaten rows of the batch go out as they are; only the rest moves.
+        lost = deliveries.where("lost").select(F.lit("drop").alias("what"), F.lit(-1).alias("prefix"), "src", *_KEY)
+        incoming = deliveries.where("not lost").select(prefix, "src", *_KEY).repartition("prefix").sortWithinPartitions("prefix", *_KEY)
+        write_run(incoming.mapInArrow(_probe(self.runs), _OUT).unionAll(lost), f"{self.folder}/{name}")
+        batches = {**self.state["batches"], **({batch: name} if batch is not None else {})}
+        self._publish(runs=[*self.state["runs"], {"name": name, "level": 0}], batches=batches)
+        out = self._dropped(name)
+        self._merge()
+        return out
+
+    def _merge(self) -> None:
+        """Merges full levels and removes what they consisted of; the drops of each batch stay readable."""
+        while n := due(self.state["runs"], self.merge_every):
+            old = self.state["runs"][-n:]
+            name = f"run-{self.state['version'] + 1:06d}-{uuid.uuid4().hex[:8]}"
+            prefixes = self.spark.range(1 << self.state["prefix_bits"]).select(F.col("id").cast("int").alias("prefix"))
+            job = merged([f"{self.folder}/{r['name']}" for r in old], ["src", "batch_no", "row_id"], _OUT)
+            write_run(prefixes.mapInArrow(job, _OUT), f"{self.folder}/{name}")
+            self._publish(runs=[*self.state["runs"][:-n], {"name": name, "level": old[-1]["level"] + 1}])
+            for r in old:
+                remove(self.spark, f"{self.folder}/{r['name']}/what=run")
+            forget_versions(self.spark, self.folder, self.state["version"] - 2)
+
+
+def redelivered(deliveries: DataFrame, waves: int = 4, prefix_bits: int = PREFIX_BITS) -> DataFrame:
     """(src, row_id) of all copies but one of every message: that of the greatest batch_no, then row_id, stays.
 
-    The deliveries are extracted once, then ``waves`` ranges of batch_no arrive at an empty index one after
-    the other, as they would in daily operation. Ties in batch_no fall into one range. Repeated physical
-    rows (same row_id) are one delivery only if they are one row; each beaten row is reported once. Empty
+    The deliveries are extracted once, then ``waves`` ranges of batch_no, of about equal size, arrive at a new
+    index one after the other, as they would in daily operation; the number of ranges changes nothing in the
+    result. Ties in batch_no fall into one range. Physical rows that repeat a row_id are one delivery. Empty
     input gives no rows.
     """
     spark = deliveries.sparkSession
     ids = materialize(deliveries.mapInArrow(_local, _IDS), "deliveries")
-    bounds = ids.select(F.percentile_approx("batch_no", [i / waves for i in range(1, waves)], 1000)).first()[0] or []
+    bounds = ids.select(F.percentile_approx("batch_no", [i / waves for i in range(1, waves)], 1000)).first()[0] or [] if waves > 1 else []
     bounds = sorted(set(bounds))
-    index, out = IdentifierIndex(spark), ids.where("lost").select("src", "row_id")
-    kept = ids.where("not lost")
+    index, out = IdentifierIndex(spark, prefix_bits=prefix_bits), None
     for low, high in zip([None, *bounds], [*bounds, None]):
-        wave = kept
+        wave = ids
         if low is not None:
             wave = wave.where(F.col("batch_no") > low)
         if high is not None:
             wave = wave.where(F.col("batch_no") <= high)
-        out = out.unionAll(index.ingest(wave).select("src", "row_id"))
-    return out
+        dropped = index.ingest(wave)
+        out = dropped if out is None else out.unionAll(dropped)
+    return out.distinct()
