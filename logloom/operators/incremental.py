@@ -1,14 +1,20 @@
-"""Only new or changed keys per run, told by Merkle trees over key ranges.
+"""Only new or changed keys per run, told by Merkle trees over key ranges, with the tree kept between runs.
 
-A key's state is a (stamp, snapshot) pair; keys are ordered by a 64-bit hash, the hash space is cut into
-``FANOUT ** depth`` equal ranges, and a range's digest is the sum of the hashes of its keys' states. Inner
-nodes mix their children's digests. Two trees are compared from the root downwards, only below nodes whose
-digests differ; the ranges reached at the bottom hold all changed keys, and only these are read.
+A key's state is its newest stamp; keys are ordered by a 64-bit hash, the hash space is cut into
+``FANOUT ** depth`` equal ranges (the leaves), and a leaf's digest is the sum of the hashes of its keys' states.
+Inner nodes mix their children's digests. A run compares the tree of what it sees with the saved one from the
+root downwards, only below nodes whose digests differ; the leaves reached hold all keys that can have changed,
+and only their saved states are opened.
+
+What a run puts out (the changed keys with their new states) is also the newest piece of the saved states: both
+are one run of :mod:`logloom.operators.sortedruns`. With the tree that belongs to it, it is published by one
+rename, so a run that fails leaves nothing that the next one would skip or repeat.
 """
 
 from __future__ import annotations
 
-import json
+import io
+import uuid
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -17,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.instants import instant_micros
-from logloom.storage import filesystem
+from logloom.operators.sortedruns import PrefixReader, due, merged, newest_first, prefix_of, write_run
+from logloom.storage import arrow_filesystem, exists, filesystem, forget_versions, latest_version, publish_version, qualified, remove, scratch
 
 FANOUT = 16
 
@@ -64,56 +71,214 @@ def successful_runs(run_log: DataFrame) -> list[tuple[int, datetime]]:
     return sorted(((r["run_id"], r["c"]) for r in rows.collect()), key=lambda x: (x[1], x[0]))
 
 
-_TAKEN = "run_id long, session_id string, snap_id long"
+_OUT = "what string, prefix int, h1 long, h2 long, key string, stamp long, snap long, run_id long"
+_CHANGED = "key string, stamp long, snap long, run_id long"
+
+
+def _digests(h1: np.ndarray, stamp: np.ndarray) -> np.ndarray:
+    """The hash of each key's state."""
+    return _mix(h1.view(np.uint64) ^ _mix(stamp.view(np.uint64)))
+
 
+def _leaf(h1: np.ndarray, depth: int) -> np.ndarray:
+    return (h1.view(np.uint64) >> np.uint64(64 - 4 * depth)).astype(np.int64)
 
-def _replay(run_ids: list[int], depth: int):
-    """mapInArrow over one range of keys: every run's tree held against the tree of the run before."""
 
-    def replay(batches: Iterator) -> Iterator:
+def _compare(runs: list[str], tree: str | None, depth: int, whole: bool, run_id: int):
+    """mapInArrow over rows sorted by prefix and key, one row per key: what changed, and the new digests of the leaves."""
+
+    def one_range(table, prefix: int, saved: np.ndarray) -> Iterator:
+        import pyarrow as pa
+
+        h1, h2, stamp, snap = (table[c].to_numpy() for c in ("h1", "h2", "stamp", "snap"))
+        keys = table["key"].combine_chunks()
+        # A range is the subtree below one node of the first level; leaves are counted from its first one.
+        per = FANOUT ** (depth - 1)
+        leaf = _leaf(h1, depth) - prefix * per
+        now = np.zeros(per, np.uint64) if whole else saved.copy()
+        np.add.at(now, leaf, _digests(h1, stamp))
+        differ = np.zeros(per, bool)
+        differ[MerkleTree(now).changed(MerkleTree(saved))] = True
+        at = np.flatnonzero(differ[leaf])  # all other keys are as they were saved
+        was = np.full(len(at), np.iinfo(np.int64).min)
+        for which, cols, place in newest_first([PrefixReader(r, prefix, ["stamp"]) for r in reversed(runs)], h1[at], h2[at]):
+            was[which] = cols["stamp"][place]
+        newer = stamp[at] > was
+        known = newer & (was != np.iinfo(np.int64).min)
+        leaves = saved.copy()
+        np.subtract.at(leaves, leaf[at[known]], _digests(h1[at[known]], was[known]))
+        at = at[newer]
+        np.add.at(leaves, leaf[at], _digests(h1[at], stamp[at]))
+        n, take = len(at), pa.array(at)
+        full = lambda v, k, t: pa.array(np.full(k, v), t)
+        names = [c.split()[0] for c in _OUT.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(["run"] * n, pa.string()), full(prefix, n, pa.int32()), pa.array(h1[at]), pa.array(h2[at]), keys.take(take), pa.array(stamp[at]), pa.array(snap[at]), full(run_id, n, pa.int64())], names=names)
+        moved = np.flatnonzero(leaves != saved)
+        m = len(moved)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["tree"] * m, pa.string()), full(-1, m, pa.int32()), pa.array(moved + prefix * per), pa.array(leaves[moved].view(np.int64)), pa.nulls(m, pa.string()), full(0, m, pa.int64()), full(0, m, pa.int64()), full(run_id, m, pa.int64())], names=names
+        )
+
+    def job(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        sessions = table["session_id"].combine_chunks()
-        key_hash, run, stamp, snap = (table[c].to_numpy() for c in ("key", "run", "stamp", "snap_id"))
-        dictionary = sessions.dictionary_encode()
-        code = dictionary.indices.to_numpy().astype(np.int64)
-        n = len(dictionary.dictionary)
-        hashes = np.zeros(n, np.uint64)
-        hashes[code] = key_hash.view(np.uint64)
-        leaf_of = (_mix(hashes) >> np.uint64(64 - 4 * depth)).astype(np.int64) if depth else np.zeros(n, np.int64)
-        by_leaf = np.argsort(leaf_of, kind="stable")
-        bounds = np.searchsorted(leaf_of[by_leaf], np.arange(FANOUT**depth + 1))
-        newest = np.full(n, np.iinfo(np.int64).min)
-        least = np.zeros(n, np.int64)
-        saved_newest = newest.copy()
-        leaves = np.zeros(FANOUT**depth, np.uint64)
-        saved = MerkleTree(leaves)
-        order = np.argsort(run, kind="stable")
-        edges = np.searchsorted(run[order], np.arange(len(run_ids) + 1))
-        digest = lambda k: np.where(newest[k] == np.iinfo(np.int64).min, np.uint64(0), _mix(hashes[k] ^ _mix(newest[k].view(np.uint64))))
-        for r, run_id in enumerate(run_ids):
-            rows = order[edges[r] : edges[r + 1]]
-            k = code[rows]  # a session once per run
-            np.subtract.at(leaves, leaf_of[k], digest(k))
-            up = stamp[rows] > newest[k]
-            newest[k[up]], least[k[up]] = stamp[rows[up]], snap[rows[up]]
-            np.add.at(leaves, leaf_of[k], digest(k))
-            tree = MerkleTree(leaves)
-            ranges = tree.changed(saved)
-            keys = np.concatenate([by_leaf[bounds[x] : bounds[x + 1]] for x in ranges]) if len(ranges) else np.empty(0, np.int64)
-            keys = keys[newest[keys] != saved_newest[keys]]
-            saved_newest[keys] = newest[keys]
-            saved = tree
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), run_id), pa.int64()), dictionary.dictionary.take(pa.array(keys)).cast(pa.string()), pa.array(least[keys])],
-                names=["run_id", "session_id", "snap_id"],
-            )
-
-    return replay
+        per = FANOUT ** (depth - 1)
+        saved = np.zeros(FANOUT**depth, np.uint64) if tree is None else _load(tree)
+        held: list = []
+
+        def flush() -> Iterator:
+            table = pa.Table.from_batches(held).combine_chunks()
+            prefix = table["prefix"][0].as_py()
+            yield from one_range(table, prefix, saved[prefix * per : (prefix + 1) * per])
+
+        for batch in batches:
+            edges = [0, *(np.flatnonzero(np.diff(batch.column(0).to_numpy())) + 1), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    if held and held[0].column(0)[0].as_py() != batch.column(0)[a].as_py():
+                        yield from flush()
+                        held.clear()
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from flush()
+
+    return job
+
+
+def _load(uri: str) -> np.ndarray:
+    fs, path = arrow_filesystem(uri)
+    with fs.open_input_file(path) as f:
+        return np.load(io.BytesIO(f.read()))
+
+
+class ChangeFeed:
+    """A persisted job in ``folder``: each :meth:`run` returns the keys that are new or changed since the last published run.
+
+    ``depth`` is the depth of the tree and fixed when the feed is made: ``FANOUT ** depth`` leaves of 8 bytes are
+    all that the driver and each task hold of it. A task holds the rows of one run that fall into one of the
+    FANOUT ** 1 ranges below the root; of the saved states it opens only row groups that can hold their keys.
+    One job writes at a time: of two that publish the same run one fails.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, depth: int = 3, merge_every: int = 8):
+        if depth < 1:
+            raise ValueError("a tree has a depth of 1 or more")
+        self.spark, self.folder, self.merge_every = spark, qualified(spark, folder.rstrip("/")), merge_every
+        self.state = latest_version(spark, self.folder) or {"version": 0, "depth": depth, "runs": [], "tree": None, "cutoff": None, "outputs": []}
+
+    @property
+    def cutoff(self) -> int | None:
+        """Up to where the last published run saw, as given to it."""
+        return self.state["cutoff"]
+
+    def run(self, rows: DataFrame, cutoff: int | None = None, whole: bool = False, run_id: int = 0, folded: bool = False) -> DataFrame:
+        """Takes ``rows`` (key string, stamp long, snap long) and returns (key, stamp, snap, run_id) of what changed.
+
+        ``rows`` are what arrived since the last run (after :attr:`cutoff`), or with ``whole`` everything visible
+        now; ``folded`` says that they hold a key once. A key is changed if its newest stamp is newer than at the last published run, or it is new; ``snap``
+        is the least of the rows with that stamp. Rows with a NULL key or stamp do not count; a NULL snap comes
+        after all others. Repeated rows change nothing. A run that is already published (same ``run_id`` and
+        ``cutoff``) returns what it put out then.
+        """
+        spark, depth = self.spark, self.state["depth"]
+        for done in self.state["outputs"]:
+            if cutoff is not None and done["cutoff"] == cutoff and done["run_id"] == run_id:
+                return self._output(done["name"])
+        number = self.state["version"] + 1
+        name = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
+        runs = [f"{self.folder}/{r['name']}" for r in self.state["runs"]]
+        tree = self.state["tree"] and f"{self.folder}/{self.state['tree']}"
+        rows = rows.where("key is not null and stamp is not null").select("key", "stamp", F.coalesce("snap", F.lit((1 << 63) - 1)).alias("snap"))
+        if not folded:
+            rows = rows.groupBy("key").agg(F.max(F.struct("stamp", (-F.col("snap")).alias("m"))).alias("m")).select("key", F.col("m.stamp").alias("stamp"), (-F.col("m.m")).alias("snap"))
+        hashed = rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(0x5EED), "key").alias("h2"), "key", "stamp", "snap")
+        ranges = hashed.select(prefix_of("h1", 4).alias("prefix"), "*").repartition("prefix").sortWithinPartitions("prefix", "h1", "h2")
+        write_run(ranges.mapInArrow(_compare(runs, tree, depth, whole, run_id), _OUT), f"{self.folder}/{name}")
+        leaves = _load(tree) if tree else np.zeros(FANOUT**depth, np.uint64)
+        if exists(spark, f"{self.folder}/{name}/what=tree"):
+            at, digests = self._new_digests(name)
+            leaves = leaves.copy()
+            leaves[at] = digests
+        self._save(f"{self.folder}/{name}/tree.npy", leaves)
+        root = int(MerkleTree(leaves).levels[-1][0])
+        outputs = [*self.state["outputs"], {"name": name, "run_id": run_id, "cutoff": cutoff}]
+        self._publish(runs=[*self.state["runs"], {"name": name, "level": 0}], tree=f"{name}/tree.npy", cutoff=cutoff, outputs=outputs, root=root)
+        self._merge()
+        return self._output(name)
+
+    def outputs(self) -> DataFrame:
+        """(key, stamp, snap, run_id) of what all published runs put out."""
+        return self._output(*[o["name"] for o in self.state["outputs"]])
+
+    def verify(self) -> bool:
+        """Whether the saved tree is that of the saved states: false if a file was lost or altered."""
+        states = None
+        for age, r in enumerate(self.state["runs"]):
+            if exists(self.spark, f"{self.folder}/{r['name']}/what=run"):
+                part = self.spark.read.schema("h1 long, h2 long, stamp long").parquet(f"{self.folder}/{r['name']}/what=run").select("*", F.lit(age).alias("age"))
+                states = part if states is None else states.unionAll(part)
+        leaves, depth = np.zeros(FANOUT ** self.state["depth"], np.uint64), self.state["depth"]
+        if states is not None:
+
+            def digests(batches: Iterator) -> Iterator:
+                import pyarrow as pa
+
+                for b in batches:
+                    h1, stamp = b.column(0).to_numpy(), b.column(1).to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(_leaf(h1, depth)), pa.array(_digests(h1, stamp).view(np.int64))], names=["leaf", "digest"])
+
+            newest = states.groupBy("h1", "h2").agg(F.max_by("stamp", "age").alias("stamp")).select("h1", "stamp").mapInArrow(digests, "leaf long, digest long")
+            xor = newest.groupBy("leaf").agg(F.collect_list("digest").alias("all")).select("leaf", F.expr("aggregate(all, cast(0 as decimal(38,0)), (a, x) -> cast(a + x as decimal(38,0)))").alias("sum"))
+            for row in xor.toLocalIterator():  # at most one row per leaf
+                leaves[row["leaf"]] = np.uint64(int(row["sum"]) % (1 << 64))
+        saved = _load(f"{self.folder}/{self.state['tree']}") if self.state["tree"] else np.zeros_like(leaves)
+        return bool((leaves == saved).all())
+
+    def _output(self, *names: str) -> DataFrame:
+        paths = [p for n in names if exists(self.spark, p := f"{self.folder}/{n}/what=run")]
+        if not paths:
+            return self.spark.createDataFrame([], _CHANGED)
+        return self.spark.read.schema(_CHANGED).option("recursiveFileLookup", "true").parquet(*paths)
+
+    def _new_digests(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves, digests) that a run moved: at most all leaves of the tree."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs as arrow_fs
+
+        fs, root = arrow_filesystem(f"{self.folder}/{name}/what=tree/prefix=-1")
+        files = [i.path for i in fs.get_file_info(arrow_fs.FileSelector(root)) if i.base_name.endswith(".parquet")]
+        parts = [pq.ParquetFile(fs.open_input_file(f)).read(columns=["h1", "h2"]) for f in files]
+        return np.concatenate([p["h1"].to_numpy() for p in parts]), np.concatenate([p["h2"].to_numpy() for p in parts]).view(np.uint64)
+
+    def _save(self, path: str, leaves: np.ndarray) -> None:
+        fs, p = filesystem(self.spark, path)
+        buffer = io.BytesIO()
+        np.save(buffer, leaves)
+        stream = fs.create(p, True)
+        stream.write(bytearray(buffer.getvalue()))
+        stream.close()
+
+    def _publish(self, **changes) -> None:
+        state = {**self.state, **changes, "version": self.state["version"] + 1}
+        publish_version(self.spark, self.folder, state)
+        self.state = state
+
+    def _merge(self) -> None:
+        """Merges full levels of saved states, range by range, without a shuffle. Outputs stay as they are."""
+        while n := due(self.state["runs"], self.merge_every):
+            old = self.state["runs"][-n:]
+            name = f"s{self.state['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
+            prefixes = self.spark.range(FANOUT).select(F.col("id").cast("int").alias("prefix"))
+            job = merged([f"{self.folder}/{r['name']}" for r in old], ["key", "stamp", "snap", "run_id"], _OUT)
+            write_run(prefixes.mapInArrow(job, _OUT), f"{self.folder}/{name}")
+            self._publish(runs=[*self.state["runs"][:-n], {"name": name, "level": old[-1]["level"] + 1}])
+            for r in old:
+                if r["level"]:  # a state made by merging; those of level 0 are outputs
+                    remove(self.spark, f"{self.folder}/{r['name']}")
+            forget_versions(self.spark, self.folder, self.state["version"] - 2)
+
+
+_TAKEN = "run_id long, session_id string, snap_id long"
 
 
 def taken_by_runs(snapshots: DataFrame, run_log: DataFrame, depth: int = 3) -> DataFrame:
@@ -124,9 +289,10 @@ def taken_by_runs(snapshots: DataFrame, run_log: DataFrame, depth: int = 3) -> D
     rows with that stamp. Rows without session, arrival or any usable stamp do not count; other columns are
     ignored; repeated rows change nothing; no runs or no rows give no rows.
 
-    Rows are first folded to one per (session, first run that sees it), map-side, so a session with a third
-    of all rows moves as one row per run. Then each task replays all runs over its own range of keys, whose
-    subtree it holds; subtrees of different ranges share nothing, so no tree ever meets the driver.
+    The stamps are read once and folded, map-side, to one row per (session, first run that sees it), so a
+    session with a third of all rows moves as one row per run. Then the runs follow one another over a new
+    :class:`ChangeFeed`, each reading just what arrived since the one before and the saved states of the leaves
+    that this touches.
     """
     spark = snapshots.sparkSession
     runs = successful_runs(run_log)
@@ -140,104 +306,12 @@ def taken_by_runs(snapshots: DataFrame, run_log: DataFrame, depth: int = 3) -> D
         .where(F.col("stamp").isNotNull() & (F.col("run") < len(runs)))
         .groupBy("session_id", "run")
         .agg(F.max(F.struct(F.col("stamp"), (-F.col("snap_id")).alias("least"))).alias("m"))
-        .select(F.xxhash64("session_id").alias("key"), "session_id", "run", F.col("m.stamp").alias("stamp"), (-F.col("m.least")).alias("snap_id"))
+        .select("run", F.col("session_id").alias("key"), F.col("m.stamp").alias("stamp"), (-F.col("m.least")).alias("snap"))
     )
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key_range = F.floor(F.shiftrightunsigned("key", 32) * width / F.lit(float(1 << 32))).cast("int")
-    return facts.repartitionById(width, key_range).mapInArrow(_replay([r for r, _ in runs], depth), _TAKEN)
-
-
-class ChangeFeed:
-    """A persisted job: each :meth:`run` returns the keys that are new or changed since the last run that was published.
-
-    ``folder/CURRENT`` names the version that counts. A version holds the keys' states, the tree and the
-    run's output; it is written completely before CURRENT is replaced by a rename, so output and tree come
-    out together or not at all: a failed run leaves nothing that the next one would skip or repeat.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, depth: int = 4):
-        self.spark, self.folder, self.depth = spark, folder.rstrip("/"), depth
-
-    def current(self) -> str | None:
-        fs, p = filesystem(self.spark, f"{self.folder}/CURRENT")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            raw = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(raw)["version"]
-
-    def _tree(self, state: DataFrame) -> DataFrame:
-        """(level, node, digest) of all nodes that hold keys; level ``depth`` are the leaves, 0 is the root."""
-        shift = 64 - 4 * self.depth
-        level = (
-            state.groupBy(F.shiftrightunsigned(F.xxhash64("key"), shift).alias("node"))
-            .agg(F.expr("bit_xor(xxhash64(key, stamp, snap))").alias("digest"))
-            .select(F.lit(self.depth).alias("level"), "node", "digest")
-        )
-        levels = [level]
-        for d in range(self.depth - 1, -1, -1):
-            level = (
-                level.groupBy(F.shiftrightunsigned("node", 4).alias("up"))
-                .agg(F.expr("bit_xor(xxhash64(node, digest))").alias("digest"))
-                .select(F.lit(d).alias("level"), F.col("up").alias("node"), "digest")
-            )
-            levels.append(level)
-        out = levels[0]
-        for x in levels[1:]:
-            out = out.unionAll(x)
-        return out
-
-    def _changed_leaves(self, tree: DataFrame, saved: DataFrame) -> DataFrame:
-        nodes = None
-        for d in range(self.depth + 1):
-            a = tree.where(F.col("level") == d).select("node", F.col("digest").alias("now"))
-            b = saved.where(F.col("level") == d).select("node", F.col("digest").alias("was"))
-            differ = a.join(b, "node", "full_outer").where(~F.col("now").eqNullSafe(F.col("was"))).select("node")
-            nodes = differ if nodes is None else differ.join(nodes.select(F.col("node").alias("up")), F.shiftrightunsigned(differ["node"], 4) == F.col("up"), "left_semi")
-        return nodes
-
-    def run(self, rows: DataFrame, fail_before_publish: bool = False) -> DataFrame:
-        """``rows``: (key string, stamp long, snap long), everything visible now. Returns (key, stamp, snap) of what changed.
-
-        A key is changed if its newest stamp is newer than at the last published run, or it is new. Rows
-        with a NULL key or stamp do not count.
-        """
-        spark, last = self.spark, self.current()
-        number = int(last) + 1 if last else 1
-        at = f"{self.folder}/v{number:08d}"
-        (
-            rows.where("key is not null and stamp is not null")
-            .groupBy("key")
-            .agg(F.max(F.struct("stamp", (-F.col("snap")).alias("m"))).alias("m"))
-            .select("key", F.col("m.stamp").alias("stamp"), (-F.col("m.m")).alias("snap"))
-            .write.mode("overwrite")
-            .parquet(f"{at}/state")
-        )
-        state = spark.read.parquet(f"{at}/state")
-        self._tree(state).write.mode("overwrite").parquet(f"{at}/tree")
-        if last:
-            old = f"{self.folder}/v{int(last):08d}"
-            leaves = self._changed_leaves(spark.read.parquet(f"{at}/tree"), spark.read.parquet(f"{old}/tree"))
-            in_range = lambda df: df.join(leaves, F.shiftrightunsigned(F.xxhash64("key"), 64 - 4 * self.depth) == F.col("node"), "left_semi")
-            before = in_range(spark.read.parquet(f"{old}/state")).select("key", F.col("stamp").alias("was"))
-            changed = in_range(state).join(before, "key", "left").where("was is null or stamp > was").drop("was")
-        else:
-            changed = state
-        changed.write.mode("overwrite").parquet(f"{at}/output")
-        if fail_before_publish:
-            raise RuntimeError("stopped before publishing")
-        fs, temporary = filesystem(spark, f"{self.folder}/.CURRENT-{number}")
-        stream = fs.create(temporary, True)
-        stream.write(bytearray(json.dumps({"version": number}).encode()))
-        stream.close()
-        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-        final = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        options = gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(fs.makeQualified(temporary), fs.makeQualified(final), options)
-        return spark.read.parquet(f"{at}/output")
+    path = scratch(spark, "arrivals")
+    facts.write.partitionBy("run").option("compression", "zstd").parquet(path)
+    feed = ChangeFeed(spark, scratch(spark, "change-feed"), depth)
+    for number, (run_id, cutoff) in enumerate(runs):
+        if exists(spark, f"{path}/run={number}"):  # a run before which nothing arrived takes nothing
+            feed.run(spark.read.schema("key string, stamp long, snap long").parquet(f"{path}/run={number}"), cutoff, run_id=run_id, folded=True)
+    return feed.outputs().select("run_id", F.col("key").alias("session_id"), F.col("snap").alias("snap_id"))

@@ -20,7 +20,7 @@ from logloom.storage import arrow_filesystem
 ROW_GROUP = 4 << 20
 
 
-def prefix_of(h1: str, bits: int) -> Column:
+def prefix_of(h1: str | Column, bits: int) -> Column:
     """The hash prefix of a key: its top ``bits`` bits."""
     return (F.shiftrightunsigned(h1, 64 - bits) if bits else F.lit(0)).cast("int")
 
