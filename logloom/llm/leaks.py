@@ -1,29 +1,39 @@
 """Held-out passages in training texts, found with a generalised suffix automaton of the test items.
 
 The automaton is built over the items' normalised tokens. A document's tokens are streamed through it; at
-every token the state gives the longest suffix read so far that occurs in some item, and with it the items.
+every token the state gives the longest suffix read so far that occurs in some item, and the states above it
+the items with the lengths that they share. Many items make several automata: each is built by one task,
+written to the shared folder and loaded by the tasks that read the documents, which are scanned once.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.storage import arrow_filesystem, qualified, scratch
+
 #: Consecutive words that make a leak, and consecutive characters in an unspaced script (items with a lang of zh).
 WORDS, CHARACTERS = 13, 20
-#: Tokens per automaton. More items are taken in blocks, one pass over the documents each: what is sent to the executors never grows with the items.
-BLOCK_TOKENS = 1_000_000
+#: Characters of item text per automaton (an item is never divided), about 40 MB of it in a task.
+BLOCK_CHARACTERS = 1_000_000
+#: Automata that a task keeps loaded; beyond that they are loaded anew for each batch of documents.
+HELD_BLOCKS = 8
 
 
 @lru_cache(maxsize=1)
 def _patterns():
     import regex
 
-    return regex.compile(r"\p{Cf}+|\p{Variation_Selector}+"), regex.compile(r"\p{Han}|[\p{L}\p{M}\p{N}--\p{Han}]+", regex.V1), regex.compile(r"\p{Han}")
+    return regex.compile(r"\p{Cf}+|\p{Variation_Selector}+"), regex.compile(r"\p{Han}|[\p{L}\p{M}\p{N}--\p{Han}]+", regex.V1), regex.compile(r"\p{Han}"), regex.compile(r"\X")
 
 
 def normalised_tokens(text: str | None) -> list[str]:
@@ -35,8 +45,34 @@ def normalised_tokens(text: str | None) -> list[str]:
         return []
     import unicodedata
 
-    invisible, token, _ = _patterns()
-    return token.findall(unicodedata.normalize("NFKC", invisible.sub("", text)).casefold())
+    invisible, token, *_ = _patterns()
+    return token.findall(text.casefold() if text.isascii() else unicodedata.normalize("NFKC", invisible.sub("", text)).casefold())
+
+
+def placed_tokens(text: str) -> list[tuple[str, int, int]]:
+    """:func:`normalised_tokens` with the span of the text that each stands for."""
+    import unicodedata
+
+    invisible, token, _, cluster = _patterns()
+    if text.isascii():
+        return [(m[0], m.start(), m.end()) for m in token.finditer(text.casefold())]
+    places = [i for a, b in _gaps(invisible, text) for i in range(a, b)]
+    plain = "".join(text[i] for i in places)
+    out, origin = [], []  # the folded text, and of each of its characters the cluster of the text that it comes from
+    for m in cluster.finditer(plain):
+        folded = unicodedata.normalize("NFKC", m[0]).casefold()
+        out.append(folded)
+        origin += [(places[m.start()], places[m.end() - 1] + 1)] * len(folded)
+    return [(m[0], origin[m.start()][0], origin[m.end() - 1][1]) for m in token.finditer("".join(out))]
+
+
+def _gaps(pattern, text: str) -> Iterator[tuple[int, int]]:
+    """The stretches of ``text`` between the matches of ``pattern``."""
+    at = 0
+    for m in pattern.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
 
 
 def is_character(token: str) -> bool:
@@ -45,7 +81,7 @@ def is_character(token: str) -> bool:
 
 @dataclass
 class SuffixAutomaton:
-    """A generalised suffix automaton over token sequences; ``items`` of a state: those that hold its substrings."""
+    """A generalised suffix automaton over token sequences, while it is built; ``items`` of a state: those that hold its substrings."""
 
     next: list[dict] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
@@ -102,30 +138,75 @@ class SuffixAutomaton:
         self._seqs = []
         return self
 
-    def spans(self, tokens: list, least: int) -> list[tuple[int, int, frozenset]]:
-        """Maximal matches of at least ``least`` tokens: (first, end, items of their last ``least`` tokens), longest per run."""
-        nxt, link, length = self.next, self.link, self.length
-        state = size = 0
-        out: list[tuple[int, int, set]] = []
-        for i, c in enumerate(tokens):
-            while state and c not in nxt[state]:
-                state = link[state]
-                size = length[state]
-            state = nxt[state].get(c, 0)
-            size = size + 1 if state else 0
-            if size >= least:
-                top = state
-                while length[link[top]] >= least:
-                    top = link[top]
-                first = i + 1 - size
-                if out and out[-1][0] == first:
-                    out[-1] = (first, i + 1, out[-1][2] | self.items[top])
-                else:
-                    out.append((first, i + 1, set(self.items[top])))
-        return [(a, b, frozenset(x)) for a, b, x in out]
-
-
-def build(items: list[tuple[int, str | None, str | None]]) -> tuple[SuffixAutomaton, SuffixAutomaton]:
+    def compact(self) -> Automaton:
+        """The same automaton in flat arrays, for reading."""
+        symbols: dict = {}
+        for edges in self.next:
+            for c in edges:
+                symbols.setdefault(c, len(symbols))
+        one, to, many = array("i"), array("i"), {}
+        for s, edges in enumerate(self.next):
+            (c, q) = next(iter(edges.items())) if len(edges) == 1 else (None, 0)
+            one.append(symbols[c] if c is not None else -1)
+            to.append(q)
+            if len(edges) > 1:
+                many[s] = {symbols[c]: q for c, q in edges.items()}
+        return Automaton(symbols, one, to, many, array("i", self.link), array("i", self.length), {s: tuple(sorted(x)) for s, x in enumerate(self.items) if x})
+
+
+@dataclass
+class Automaton:
+    """A finished automaton: states with one way out keep it in two arrays, the others in a mapping."""
+
+    symbols: dict
+    one: array
+    to: array
+    many: dict
+    link: array
+    length: array
+    items: dict
+
+    def _runs(self, tokens: list, least: int) -> Iterator[tuple[int, list[int]]]:
+        """(place, symbols) of the stretches of known tokens that are long enough to hold a match."""
+        known = np.fromiter(map(self.symbols.get, tokens, [-1] * len(tokens)), np.int64, len(tokens))
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (known >= 0).view(np.int8), [0]])))
+        for a, b in zip(edges[::2], edges[1::2]):
+            if b - a >= least:
+                yield int(a), known[a:b].tolist()
+
+    def matches(self, tokens: list, least: int) -> Iterator[tuple[int, int, int]]:
+        """(end, length, state) at every place where the longest match has ``least`` tokens or more."""
+        one, to, many, link, length = self.one, self.to, self.many, self.link, self.length
+        for place, run in self._runs(tokens, least):
+            state = size = 0
+            for i, c in enumerate(run, place + 1):
+                while True:
+                    q = to[state] if one[state] == c else many[state].get(c, -1) if state in many else -1
+                    if q >= 0:
+                        state, size = q, size + 1
+                        break
+                    if not state:
+                        size = 0
+                        break
+                    state = link[state]
+                    size = length[state]
+                if size >= least:
+                    yield i, size, state
+
+    def longest(self, tokens: list, least: int) -> dict[int, int]:
+        """Of each item that shares a run of ``least`` tokens or more the length of the longest."""
+        best: dict[int, int] = {}
+        for _, size, state in self.matches(tokens, least):
+            while self.length[state] >= least:  # each state above is a shorter suffix, which more items hold
+                for item in self.items[state]:
+                    if size > best.get(item, 0):
+                        best[item] = size
+                state = self.link[state]
+                size = self.length[state]
+        return best
+
+
+def build(items: list[tuple[int, str | None, str | None]]) -> tuple[Automaton, Automaton]:
     """(item_id, lang, text) -> the automata of words and of Chinese characters."""
     words, characters = SuffixAutomaton(), SuffixAutomaton()
     for item, lang, text in items:
@@ -140,21 +221,44 @@ def build(items: list[tuple[int, str | None, str | None]]) -> tuple[SuffixAutoma
                     run = []
         else:
             words.add(tokens, item)
-    return words.finish(WORDS), characters.finish(CHARACTERS)
+    return words.finish(WORDS).compact(), characters.finish(CHARACTERS).compact()
+
+
+def build_automata(items: DataFrame) -> list[str]:
+    """Builds the automata of all items, each in a task of its own, in the shared folder; returns where they lie.
+
+    Items meet by a hash of their id in so many blocks that each has about BLOCK_CHARACTERS characters.
+    """
+    spark = items.sparkSession
+    some = items.where("item_id is not null and text is not null and text <> ''").select(F.col("item_id").cast("long").alias("item_id"), F.col("lang").cast("string").alias("lang"), "text")
+    size = some.agg(F.sum(F.length("text"))).first()[0]
+    if not size:
+        return []
+    blocks = -(-size // BLOCK_CHARACTERS)
+    folder = qualified(spark, scratch(spark, "automata"))
+
+    def make(group):
+        import pandas as pd
+
+        block = int(group["block"].iloc[0])
+        automata = build(list(zip(group["item_id"].tolist(), group["lang"].where(group["lang"].notna(), None).tolist(), group["text"].tolist())))
+        fs, path = arrow_filesystem(f"{folder}/{block}")
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        aside = f"{path}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(aside) as f:
+            f.write(pickle.dumps(automata, 5))
+        fs.move(aside, path)  # a task that runs twice puts the same in its place
+        return pd.DataFrame({"block": [block]})
 
+    made = some.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(make, "block int")
+    return sorted(f"{folder}/{r['block']}" for r in made.collect())  # a number per block
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
-    """The items in blocks of at most about BLOCK_TOKENS tokens, whatever their number."""
-    block, size = [], 0
-    for r in items.toLocalIterator():
-        n = len(normalised_tokens(r["text"]))
-        if block and size + n > BLOCK_TOKENS:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], r["lang"], r["text"]))
-        size += n
-    if block:
-        yield block
+
+@lru_cache(maxsize=HELD_BLOCKS)
+def _load(uri: str) -> tuple[Automaton, Automaton]:
+    fs, path = arrow_filesystem(uri)
+    with fs.open_input_stream(path) as f:
+        return pickle.loads(f.read())
 
 
 _SPANS = "doc_id long, item_id long, n_tokens long, doc_tokens long"
@@ -164,44 +268,30 @@ def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_tokens, doc_tokens): for each document and item the longest shared run that is long enough.
 
     ``documents`` needs ``doc_id`` and ``text``, ``items`` ``item_id``, ``lang`` and ``text``; other columns are
-    ignored. NULL and empty texts share nothing. Whole texts are read; there is no shuffle, as a document's
-    leaks depend on that document and the automaton alone. Several items may share the passage; all are named.
+    ignored. NULL and empty texts share nothing. Whole texts are read, once; the documents are not shuffled, as
+    a document's leaks depend on that document and the automata alone. Several items may share the passage; all
+    are named, each with its own length.
     """
-    spark = documents.sparkSession
+    blocks = build_automata(items)
     docs = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for block in _blocks(items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "lang", "text")):
-        shared = spark.sparkContext.broadcast(build(block))
-
-        def find(batches: Iterator, shared=shared) -> Iterator:
-            import pyarrow as pa
-
-            words, characters = shared.value
-            known_words, known_characters = words.next[0], characters.next[0]
-            for batch in batches:
-                rows: list[tuple] = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    tokens = normalised_tokens(text)
-                    best: dict[int, int] = {}
-                    for automaton, known, least in ((words, known_words, WORDS), (characters, known_characters, CHARACTERS)):
-                        run: list[str] = []
-                        for t in [*tokens, None]:
-                            if t in known:
-                                run.append(t)
-                                continue
-                            if len(run) >= least:
-                                for first, end, who in automaton.spans(run, least):
-                                    for item in who:
-                                        best[item] = max(best.get(item, 0), end - first)
-                            if run:
-                                run = []
-                    rows += [(doc, item, n, len(tokens)) for item, n in best.items()]
-                cols = zip(*rows) if rows else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_tokens", "doc_tokens"])
-
-        part = docs.mapInArrow(find, _SPANS)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], _SPANS)
+    if not blocks:
+        return documents.sparkSession.createDataFrame([], _SPANS)
+
+    def find(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            tokens = [normalised_tokens(t) for t in batch.column(1).to_pylist()]
+            best: list[dict] = [{} for _ in tokens]
+            for uri in blocks:
+                for automaton, least in zip(_load(uri), (WORDS, CHARACTERS)):
+                    for k, t in enumerate(tokens):
+                        for item, n in automaton.longest(t, least).items():
+                            best[k][item] = max(best[k].get(item, 0), n)
+            rows = [(doc, item, n, len(t)) for doc, t, b in zip(batch.column(0).to_pylist(), tokens, best) for item, n in b.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 4)], names=["doc_id", "item_id", "n_tokens", "doc_tokens"])
+
+    return docs.mapInArrow(find, _SPANS)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -209,32 +299,30 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     return leak_spans(documents, items).select("doc_id", "item_id").distinct()
 
 
-def placed_tokens(text: str) -> list[tuple[str, int, int]]:
-    """:func:`normalised_tokens` with the span of the text that each stands for.
+def covered(tokens: list[str], automata: list[tuple[Automaton, Automaton]]) -> np.ndarray:
+    """Which tokens stand in a run that some item shares."""
+    edges = np.zeros(len(tokens) + 1, np.int64)
+    for pair in automata:
+        for automaton, least in zip(pair, (WORDS, CHARACTERS)):
+            for end, size, _ in automaton.matches(tokens, least):
+                edges[end - size] += 1
+                edges[end] -= 1
+    return np.cumsum(edges[:-1]) > 0
 
-    Words are found in the text as written and normalised one by one; a symbol that only compatibility
-    folding turns into letters (㈱) has no token here.
-    """
-    import regex
 
-    return [(t, m.start(), m.end()) for m in regex.finditer(r"\p{Han}|[\p{L}\p{M}\p{N}\p{Cf}\p{Variation_Selector}--\p{Han}]+", text, regex.V1) for t in normalised_tokens(m[0])]
-
-
-def leaked_ranges(text: str, automata: tuple[SuffixAutomaton, SuffixAutomaton]) -> tuple[list[tuple[int, int]], int, int]:
-    """(ranges of the text, tokens in them, tokens of the text): the merged leaked spans of a text."""
-    tokens = placed_tokens(text)
-    hit = [False] * len(tokens)
-    for automaton, least in zip(automata, (WORDS, CHARACTERS)):
-        for first, end, _ in automaton.spans([t for t, _, _ in tokens], least):
-            hit[first:end] = [True] * (end - first)
-    ranges: list[tuple[int, int]] = []
-    for k, (_, a, b) in enumerate(tokens):
+def without(text: str, hit: np.ndarray) -> str:
+    """The text without the tokens that are ``hit``, and without what stands between two of them."""
+    out, at, tokens = [], 0, placed_tokens(text)
+    k = 0
+    while k < len(tokens):
         if hit[k]:
-            if k and hit[k - 1] and ranges:
-                ranges[-1] = (ranges[-1][0], b)
-            else:
-                ranges.append((a, b))
-    return ranges, sum(hit), len(tokens)
+            first = k
+            while k + 1 < len(tokens) and hit[k + 1]:
+                k += 1
+            out.append(text[at : tokens[first][1]])
+            at = tokens[k][2]
+        k += 1
+    return "".join(out) + text[at:]
 
 
 _CLEAN = "doc_id long, text string, removed long, tokens long"
@@ -243,29 +331,31 @@ _CLEAN = "doc_id long, text string, removed long, tokens long"
 def remove_leaks(documents: DataFrame, items: DataFrame, max_coverage: float = 0.5) -> DataFrame:
     """(doc_id, text, removed, tokens): the documents without their leaked spans.
 
-    Spans of at least WORDS words or CHARACTERS Chinese characters are cut out. A document of which more
-    than ``max_coverage`` leaked has an empty text; a NULL text stays NULL and counts no tokens. Blocks of
-    items are taken one after the other, each over what the one before left.
+    Spans of at least WORDS words or CHARACTERS Chinese characters, of whichever items, are found in the text as
+    it is and cut out together. A document of which more than ``max_coverage`` leaked has an empty text; a NULL
+    text stays NULL and counts no tokens.
     """
-    spark = documents.sparkSession
-    out = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("removed"), F.lit(-1).cast("long").alias("tokens"))
-    for block in _blocks(items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "lang", "text")):
-        shared = spark.sparkContext.broadcast(build(block))
-
-        def cut(batches: Iterator, shared=shared) -> Iterator:
-            import pyarrow as pa
-
-            for batch in batches:
-                docs, texts, removed, tokens = (c.to_pylist() for c in batch.columns)
-                for k, text in enumerate(texts):
-                    ranges, n, total = leaked_ranges(text or "", shared.value)
-                    tokens[k] = total if tokens[k] < 0 else tokens[k]
-                    removed[k] += n
-                    for a, b in reversed(ranges):
-                        text = text[:a] + text[b:]
-                    texts[k] = text
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "text", "removed", "tokens"])
-
-        out = out.mapInArrow(cut, _CLEAN)
-    too_much = F.col("removed") > F.col("tokens") * max_coverage
-    return out.select("doc_id", F.when(F.col("text").isNotNull() & too_much & (F.col("tokens") > 0), "").otherwise(F.col("text")).alias("text"), "removed", F.greatest("tokens", F.lit(0)).alias("tokens"))
+    blocks = build_automata(items)
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            docs, texts = (c.to_pylist() for c in batch.columns)
+            tokens = [normalised_tokens(t) for t in texts]
+            hits = [np.zeros(len(t), bool) for t in tokens]
+            for uri in blocks:
+                pair = _load(uri)
+                for k, t in enumerate(tokens):
+                    hits[k] |= covered(t, [pair])
+            removed = [int(h.sum()) for h in hits]
+            for k, n in enumerate(removed):
+                if n > max_coverage * len(tokens[k]):
+                    texts[k] = ""
+                elif n:
+                    texts[k] = without(texts[k], hits[k])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array([len(t) for t in tokens], pa.int64())], names=["doc_id", "text", "removed", "tokens"]
+            )
+
+    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _CLEAN)

@@ -46,24 +46,36 @@ def test_automaton_against_brute_force():
         a = l.SuffixAutomaton()
         for k, seq in enumerate(items):
             a.add(seq, k)
-        a.finish(least)
-        got = set().union(*[who for _, _, who in a.spans(text, least)], set())
-        grams = {tuple(text[i : i + least]) for i in range(len(text) - least + 1)}
-        want = {k for k, seq in enumerate(items) if any(tuple(seq[i : i + least]) in grams for i in range(len(seq) - least + 1))}
+        got = a.finish(least).compact().longest(text, least)
+        runs = lambda seq, n: {tuple(seq[i : i + n]) for i in range(len(seq) - n + 1)}
+        want = {k: n for k, seq in enumerate(items) if (n := max((n for n in range(least, len(seq) + 1) if runs(seq, n) & runs(text, n)), default=0))}
         assert got == want
-        longest = max((e - s for s, e, _ in a.spans(text, least)), default=0)
-        brute = max((n for n in range(least, 15) for k in items for i in range(len(k) - n + 1) if any(text[j : j + n] == k[i : i + n] for j in range(len(text) - n + 1))), default=0)
-        assert longest == brute
 
 
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = [(1, PASSAGE, ""), (2, ZH, "")]
     items = [(k, "en", PASSAGE, "") for k in range(5)] + [(9, "zh", ZH, "")]
     whole = found(spark, docs, items)
-    monkeypatch.setattr(l, "BLOCK_TOKENS", 30)
+    monkeypatch.setattr(l, "BLOCK_CHARACTERS", 60)
     assert found(spark, docs, items) == whole
 
 
+def test_removal_does_not_depend_on_blocks(spark, monkeypatch):
+    """Items that overlap in a document, and clean text that would join into a leak if cuts followed one another."""
+    words = PASSAGE.split()
+    rest = [f"filler{k}" for k in range(60)]
+    docs = [(1, " ".join([*rest, *words[:9], *"one two three four five six seven eight nine ten eleven twelve thirteen".split(), *words[9:]]), ""), (2, " ".join(rest + words), "")]
+    items = [(1, "en", PASSAGE), (2, "en", "one two three four five six seven eight nine ten eleven twelve thirteen"), (3, "en", " ".join(words[4:] + ["more"])), (4, "en", " ".join(words[:15]))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(items, "item_id long, lang string, text string")
+    clean = lambda: sorted(map(tuple, l.remove_leaks(d, i).collect()))
+    spans = lambda: sorted(map(tuple, l.leak_spans(d, i).collect()))
+    want = [(1, " ".join([*rest, *words[:9], "", *words[9:]]), 13, 60 + 13 + len(words)), (2, " ".join(rest) + " ", len(words), 60 + len(words))]
+    one = spans()
+    assert clean() == want and [r[:3] for r in one] == [(1, 2, 13), (2, 1, len(words)), (2, 3, len(words) - 4), (2, 4, 15)]
+    monkeypatch.setattr(l, "BLOCK_CHARACTERS", 60)
+    assert clean() == want and spans() == one
+
+
 def test_removal(spark):
     head = "An opening that nobody leaked, with quite a few words of its own so that it weighs more than all of the rest does here. "
     docs = [(1, head + PASSAGE.title() + "! An end.", ""), (2, PASSAGE, ""), (3, None, ""), (4, "clean", ""), (5, head * 2 + ZH[:25] + "。", "")]
@@ -78,7 +90,7 @@ def test_removal(spark):
 
 
 def test_placed_tokens_are_the_tokens():
-    for text in (PASSAGE, ZH, "> The  ​Old **urn**, x1 Straße ﬁx", "", "…"):
+    for text in (PASSAGE, ZH, "> The  ​Old **urn**, x1 Straße ﬁx", "", "…", "㈱会社™ ½ e\u0301\u00ad\u0323x İI 각한 \u1100\u1161\u11a8 ﷺ ๆกำ"):
         placed = l.placed_tokens(text)
         assert [t for t, _, _ in placed] == l.normalised_tokens(text)
         assert all(a < b for _, a, b in placed)
