@@ -74,22 +74,32 @@ def _counted_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def _message_key() -> Column:
+    """What lines of one message share: the id, or for a line without one a hash of all that it says, behind a NUL."""
+    own = F.concat(F.lit("\0"), F.xxhash64("us", "line_type", F.to_json("content")).cast("string"))
+    return F.when(F.coalesce("id", F.lit("")) == "", own).otherwise(F.col("id"))
+
+
+def _id_of(key: str) -> Column:
+    return F.when(F.startswith(F.col(key), F.lit("\0")), "").otherwise(F.col(key))
+
+
 def message_contents(lines: DataFrame) -> DataFrame:
-    """(session_id, message_id, content): the blocks of each message with an id, as JSON texts in order.
+    """(session_id, message_key, content): the blocks of each message, as JSON texts in order.
 
     A block that was streamed in several lines counts once, at its earliest instant and with its longest
     text; deliveries that repeat it add nothing. A plain text is one block.
     """
     block = F.expr("coalesce(try_variant_get(content, '$', 'array<variant>'), array(content))")
     field = lambda name: F.expr(f"try_variant_get(b, '$.{name}', 'string')")
-    rows = _counted_lines(lines).where("id is not null and id <> ''").select("session_id", F.col("id").alias("message_id"), "us", F.posexplode(block).alias("i", "b")).where("b is not null")
+    rows = _counted_lines(lines).select("session_id", _message_key().alias("message_key"), "us", F.posexplode(block).alias("i", "b")).where("b is not null")
     rows = rows.select(
-        "session_id", "message_id", "us", F.coalesce(F.expr("try_variant_get(b, '$.apiBlockIndex', 'int')"), F.col("i")).alias("slot"),
+        "session_id", "message_key", "us", F.coalesce(F.expr("try_variant_get(b, '$.apiBlockIndex', 'int')"), F.col("i")).alias("slot"),
         F.concat_ws("\0", F.coalesce(field("type"), F.lit("")), F.coalesce(field("id"), field("tool_use_id"), F.lit(""))).alias("which"), F.to_json("b").alias("json"),
     )
-    whole = rows.groupBy("session_id", "message_id", "slot", "which").agg(F.min("us").alias("us"), F.max_by("json", F.struct(F.length("json"), "json")).alias("json"))
+    whole = rows.groupBy("session_id", "message_key", "slot", "which").agg(F.min("us").alias("us"), F.max_by("json", F.struct(F.length("json"), "json")).alias("json"))
     ordered = F.array_sort(F.collect_list(F.struct("slot", "us", "which", "json")))
-    return whole.groupBy("session_id", "message_id").agg(F.transform(ordered, lambda x: x["json"]).alias("content"))
+    return whole.groupBy("session_id", "message_key").agg(F.transform(ordered, lambda x: x["json"]).alias("content"))
 
 
 def messages(lines: DataFrame) -> DataFrame:
@@ -100,7 +110,7 @@ def messages(lines: DataFrame) -> DataFrame:
     earliest instant. A line without an id is a message of its own (equal deliveries of it count once)
     and carries the id ``''``. A message without any readable instant comes after all others.
 
-    Columns: session_id, message_key, message_id, us, is_tool, line_type, has_text, uses, results.
+    Columns: session_id, message_key, us, is_tool, line_type, has_text, uses, results.
     """
     rows = _counted_lines(lines)
     block = lambda path: f"try_variant_get(b, '$.{path}', 'string')"
@@ -112,17 +122,13 @@ def messages(lines: DataFrame) -> DataFrame:
             f"'text', case when schema_of_variant(b) = 'STRING' then try_variant_get(b, '$', 'string') when {block('type')} = 'text' then {block('text')} end))"
         )).alias("blocks"),
     )
-    key = F.when(
-        F.coalesce("id", F.lit("")) == "",
-        F.concat(F.lit("\0"), F.xxhash64("us", "line_type", F.to_json("content")).cast("string")),
-    ).otherwise(F.col("id"))
+    key = _message_key()
     has_text = F.exists("blocks", lambda b: ~_blank(b["text"]))
     ids = lambda kind, field: F.transform(F.filter("blocks", lambda b: b["type"] == kind), lambda b: F.coalesce(b[field], F.lit("")))
     return (
         rows.select(
             "session_id",
             key.alias("message_key"),
-            F.coalesce("id", F.lit("")).alias("message_id"),
             F.coalesce("us", F.lit(_NEVER)).alias("us"),
             "line_type",
             F.coalesce(has_text, F.lit(False)).alias("has_text"),
@@ -132,7 +138,6 @@ def messages(lines: DataFrame) -> DataFrame:
         )
         .groupBy("session_id", "message_key")
         .agg(
-            F.first("message_id").alias("message_id"),
             F.min("us").alias("us"),
             F.max("is_tool").alias("is_tool"),
             F.min_by("line_type", "us").alias("line_type"),
@@ -177,7 +182,7 @@ def broken_links(msgs: DataFrame) -> DataFrame:
     )
 
 
-_TAGGED = "session_id string, piece int, n long, seq long, prompt_id string, steps long, speaker string, message_id string, f int, has_prompt_text boolean"
+_TAGGED = "session_id string, piece int, n long, seq long, prompt_key string, steps long, speaker string, message_key string, f int, has_prompt_text boolean"
 
 
 def _read_in_order(batches: Iterator) -> Iterator:
@@ -187,8 +192,8 @@ def _read_in_order(batches: Iterator) -> Iterator:
 
     piece = TaskContext.get().partitionId()
     schema = pa.schema(
-        [("session_id", pa.string()), ("piece", pa.int32()), ("n", pa.int64()), ("seq", pa.int64()), ("prompt_id", pa.string()), ("steps", pa.int64())]
-        + [("speaker", pa.string()), ("message_id", pa.string()), ("f", pa.int32()), ("has_prompt_text", pa.bool_())]
+        [("session_id", pa.string()), ("piece", pa.int32()), ("n", pa.int64()), ("seq", pa.int64()), ("prompt_key", pa.string()), ("steps", pa.int64())]
+        + [("speaker", pa.string()), ("message_key", pa.string()), ("f", pa.int32()), ("has_prompt_text", pa.bool_())]
     )
     session, f, prompt, steps, seq, text = None, 0, None, 0, 0, False
     out: list[tuple] = []
@@ -199,7 +204,7 @@ def _read_in_order(batches: Iterator) -> Iterator:
         return table
 
     for batch in batches:
-        cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("session_id", "message_id", "line_type", "is_tool", "has_text")]
+        cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("session_id", "message_key", "line_type", "is_tool", "has_text")]
         for s, m, kind, tool, has_text in zip(*cols):
             if s != session:
                 if session is not None:
@@ -231,13 +236,13 @@ def rebuild_conversations(lines: DataFrame, content: bool = False) -> DataFrame:
     before the next one, and sound tool links (see :func:`broken_links`). Order: instant, then calls before
     tool messages, then message id. Empty input gives no rows; null ids, texts and stamps are covered in
     :func:`messages`. With ``content`` each row also has its blocks (:func:`message_contents`; NULL for a
-    message without an id); they join at the end, so that only kept messages carry theirs.
+    message with none); they join at the end, so that only kept messages carry theirs.
     """
     spark = lines.sparkSession
     msgs = materialize(messages(lines), "messages")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        msgs.select("session_id", "us", "is_tool", "message_key", "message_id", "line_type", "has_text")
+        msgs.select("session_id", "us", "is_tool", "message_key", "line_type", "has_text")
         .repartitionByRange(width, "session_id", "us", "is_tool", "message_key")
         .sortWithinPartitions("session_id", "us", "is_tool", "message_key")
     )
@@ -249,15 +254,15 @@ def rebuild_conversations(lines: DataFrame, content: bool = False) -> DataFrame:
     pieces = (
         tagged.where(F.col("f").isNotNull())
         .groupBy("session_id")
-        .agg(F.array_sort(F.collect_list(F.struct("piece", "f", "has_prompt_text", "prompt_id", "steps", "n"))).alias("pieces"))
+        .agg(F.array_sort(F.collect_list(F.struct("piece", "f", "has_prompt_text", "prompt_key", "steps", "n"))).alias("pieces"))
         .withColumn("f", F.aggregate("pieces", F.lit(0), lambda acc, p: F.element_at(table, acc * size + p["f"] + 1)))
         .where(F.element_at(F.array(*[F.lit(f[START] == REPLIED) for f in FUNCTIONS]), F.col("f") + 1) & F.exists("pieces", lambda p: p["has_prompt_text"]))
         .join(broken_links(msgs), "session_id", "left_anti")
     )
-    start = F.struct(F.lit(None).cast("string").alias("prompt_id"), F.lit(0).cast("long").alias("steps"), F.lit(-1).alias("piece"))
+    start = F.struct(F.lit(None).cast("string").alias("prompt_key"), F.lit(0).cast("long").alias("steps"), F.lit(-1).alias("piece"))
     step = lambda acc, p: F.struct(
-        F.coalesce(p["prompt_id"], acc["prompt_id"]).alias("prompt_id"),
-        F.when(p["prompt_id"].isNull(), acc["steps"] + p["n"]).otherwise(p["steps"]).alias("steps"),
+        F.coalesce(p["prompt_key"], acc["prompt_key"]).alias("prompt_key"),
+        F.when(p["prompt_key"].isNull(), acc["steps"] + p["n"]).otherwise(p["steps"]).alias("steps"),
         p["piece"].alias("piece"),
     )
     # What each piece inherits: the latest prompt before it, and the messages since.
@@ -269,15 +274,16 @@ def rebuild_conversations(lines: DataFrame, content: bool = False) -> DataFrame:
                 lambda p, i: F.struct(p["piece"].alias("piece"), F.aggregate(F.slice("pieces", 1, i), start, step).alias("before")),
             )
         ).alias("c"),
-    ).select("session_id", "c.piece", F.col("c.before.prompt_id").alias("before_id"), F.col("c.before.steps").alias("before_steps"))
-    rows = tagged.where(F.col("speaker").isNotNull()).select("session_id", "piece", "seq", "prompt_id", "steps", "speaker", "message_id")
+    ).select("session_id", "c.piece", F.col("c.before.prompt_key").alias("before_key"), F.col("c.before.steps").alias("before_steps"))
+    rows = tagged.where(F.col("speaker").isNotNull()).select("session_id", "piece", "seq", "prompt_key", "steps", "speaker", "message_key")
     out = rows.join(carried, ["session_id", "piece"]).select(
         "session_id",
-        F.coalesce("prompt_id", "before_id").alias("prompt_id"),
-        F.when(F.col("prompt_id").isNull(), F.col("before_steps") + F.col("seq") + 1).otherwise(F.col("steps")).alias("step_no"),
+        F.coalesce("prompt_key", "before_key").alias("prompt_key"),
+        F.when(F.col("prompt_key").isNull(), F.col("before_steps") + F.col("seq") + 1).otherwise(F.col("steps")).alias("step_no"),
         "speaker",
-        "message_id",
+        "message_key",
     )
+    columns = ["session_id", _id_of("prompt_key").alias("prompt_id"), "step_no", "speaker", _id_of("message_key").alias("message_id")]
     if not content:
-        return out
-    return out.join(message_contents(lines), ["session_id", "message_id"], "left").select(*out.columns, "content")
+        return out.select(*columns)
+    return out.join(message_contents(lines), ["session_id", "message_key"], "left").select(*columns, "content")

@@ -123,3 +123,17 @@ def test_content_comes_along(spark):
     got = {r["message_id"]: [json.loads(x) for x in r["content"]] for r in c.rebuild_conversations(spark.createDataFrame(lines, COLUMNS), content=True).collect()}
     assert got["p"] == ["hi"] and [b["text"] for b in got["b"]] == ["partial", "second"]
     assert got["a"][0]["id"] == "t" and got["r"][0]["tool_use_id"] == "t"
+
+
+def test_messages_without_an_id_carry_their_content(spark):
+    say = lambda line, kind, ts, content: (line, 1, None, "s", kind, None, ts, "", "", False, "", False, False, None, None, json.dumps({"content": content}))
+    lines = [say(1, "user", "2025-01-01T00:00:00Z", "hello"), say(2, "assistant", "2025-01-01T00:00:01Z", [{"type": "text", "text": "one"}, {"type": "text", "text": "two"}]), say(3, "user", "2025-01-01T00:00:02Z", "bye"), say(4, "assistant", "2025-01-01T00:00:03Z", "so long")]
+    names = [f.name for f in spark.createDataFrame([], COLUMNS).schema.fields]
+    table = spark.createDataFrame([], COLUMNS)
+    assert {"session_id", "line_type", "ts", "message"} <= set(names)
+    rows = [{"line_id": x[0], "session_id": x[3], "line_type": x[4], "ts": x[6], "message": x[15]} for x in lines]
+    table = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], table.schema)
+    got = sorted((((r["step_no"], r["speaker"], r["message_id"], r["prompt_id"]), [json.loads(x) for x in r["content"]]) for r in c.rebuild_conversations(table, content=True).collect()), key=str)
+    assert [k for k, _ in got] == [(0, "user", "", ""), (0, "user", "", ""), (1, "assistant", "", ""), (1, "assistant", "", "")]
+    assert sorted(v for k, v in got if k[0] == 0) == [["bye"], ["hello"]]
+    assert sorted(len(v) for k, v in got if k[0] == 1) == [1, 2]
