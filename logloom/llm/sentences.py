@@ -4,15 +4,17 @@ Three steps. (1) Lines give blocks: headings, list items, fenced code, paragraph
 stop, blank or closing mark that could end a sentence is a candidate; inline code, and quotations and
 brackets that stand inside a sentence, hold none. (3) A candidate whose outcome the script itself settles is
 decided at once; every full stop before a blank goes to a maximum-entropy classifier (logistic regression)
-over its neighbours: tokens, case, length, digits, script. The classifier is fitted on *reliable* stops
-only: ends of blocks against stops that plainly stand inside a sentence.
+over its neighbours: case, length, digits, script, and how the tokens beside it behave in the whole corpus
+(does this token ever end a block? does this word ever begin one?). These counts are taken over all documents.
+The classifier is fitted on *reliable* stops only: ends of blocks against stops that plainly stand inside a
+sentence, as the counts tell.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -20,10 +22,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that the classifier is fitted on, at most; which ones is decided by a hash of doc_id.
-TRAINING_DOCUMENTS = 3000
+from logloom.storage import materialize
 
-# Abbreviations that a sentence does not end with, those that it may end with, and month names.
+#: Stops that the classifier is fitted on, at most; which ones is decided by a hash of document and place.
+TRAINING_STOPS = 60_000
+#: Tokens and words that make up a smaller share of all stops count as never seen, so that there are at most 2 / RARE of them.
+RARE = 1e-6
+
+# Words known beforehand to stand before a stop that ends nothing, those after which a sentence may end as
+# well, and month names. They are a prior only: a few made-up observations (PRIOR) that the counts of a corpus outweigh.
 FOLLOWED = frozenset(
     """cf e.g i.e fig figs sec secs ch chap no nos nr rev vs viz ca approx max incl excl ed eds vol pp p pg art eq eqs mr mrs ms dr prof st mt gen
     w.r.t wrt resp z.b d.h bzw vgl kap abs s abb bspw ggf inkl sog evtl hrsg jh bd vgl núm pág págs p.ej ej aprox cap sr sra dra ud uds art fig vol
@@ -31,10 +38,10 @@ FOLLOWED = frozenset(
     janv févr juil déc ene abr ago dic okt dez""".split()
 )
 ENDING = frozenset("etc usw a.m p.m u.a u.s.w et.al al inc ltd corp co jr sr т.д т.п др и.т.д min sec hr hrs ff u.ä o.ä ee.uu s.a с.г н.э и.др et.al руб тыс млн km kg".split())
-_SPELLED_APART = FOLLOWED | ENDING
 MONTHS = frozenset(
     "januar februar märz april mai juni juli august september oktober november dezember jänner jahrhundert jahrestag января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
 )
+PRIOR = 10
 
 _STOPS = ".!?…؟。！？｡．।॥۔"
 _FULL = "。！？｡．"  # stops of unspaced scripts
@@ -171,8 +178,10 @@ class Candidate:
 
     end: int
     verdict: bool | None
-    features: tuple = ()
-    words: tuple = ("", "")
+    bits: int = 0
+    token: str = ""
+    word: str = ""
+    earlier: str = ""
 
 
 def _enclosed(text: str, first: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -185,6 +194,7 @@ def _enclosed(text: str, first: int, end: int) -> tuple[list[tuple[int, int]], l
     a, b = next(skip)
     last: dict[str, int] = {}  # of each closing mark the last place in the block
     stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()  # closing marks in the stack
     pairs: list[tuple[int, int]] = []
     i = first
     while i < end:
@@ -196,6 +206,7 @@ def _enclosed(text: str, first: int, end: int) -> tuple[list[tuple[int, int]], l
         if stack and ch == stack[-1][0]:
             if ch != "'" and ch != "’" or not text[i + 1 : i + 2].isalnum():
                 pairs.append((stack.pop()[1], i + 1))
+                waiting[ch] -= 1
                 i += 1
                 continue
         elif ch in "\"'":
@@ -209,12 +220,15 @@ def _enclosed(text: str, first: int, end: int) -> tuple[list[tuple[int, int]], l
                     last[ch] = j
                 if last[ch] > i:
                     stack.append((ch, i))
+                    waiting[ch] += 1
         elif ch in _PAIRS and last.setdefault(_PAIRS[ch], text.rfind(_PAIRS[ch], i + 1, end)) > i and (ch != "‘" or i == first or not text[i - 1].isalnum()):
             stack.append((_PAIRS[ch], i))
-        elif ch in ")]}）」』》”»" and any(s == ch for s, _ in stack[-50:]):  # an inner mark was never closed
+            waiting[_PAIRS[ch]] += 1
+        elif ch in ")]}）」』》”»" and waiting[ch]:  # an inner mark was never closed
             while stack[-1][0] != ch:
-                stack.pop()
+                waiting[stack.pop()[0]] -= 1
             pairs.append((stack.pop()[1], i + 1))
+            waiting[ch] -= 1
         i += 1
     pairs.sort(key=lambda p: (p[0], -p[1]))
     outer: list[tuple[int, int]] = []
@@ -240,9 +254,9 @@ def _word_before(text: str, first: int, stop: int) -> tuple[str, str]:
     while k > first and not text[k - 1].isspace():
         k -= 1
     before = text[k:j].lstrip("([{\"'“«„‚‘「『（¿¡>*_-")
-    apart = f"{before.rstrip('.')}.{token}".lower()
-    if len(token) <= 3 and (apart in FOLLOWED or apart in ENDING):
-        return apart, ""
+    head = before.rstrip(".")
+    if 0 < len(token) <= 3 and 0 < len(head) <= 2 and before.endswith(".") and token.isalpha() and head.isalpha() and j > k:
+        return f"{head}.{token}", ""
     return token, before
 
 
@@ -322,7 +336,7 @@ def candidates(text: str, first: int, end: int) -> list[Candidate]:
             elif (whole and text[opened] in _BRACKETS) or _upper(lead) or lead.isdigit() or mark == "`":
                 out.append(Candidate(j, True))
             else:
-                out.append(Candidate(j, None, _features("", "", word, mark, True), ("", word)))
+                out.append(Candidate(j, None, *_seen("", "", word, mark, True)))
             continue
         if ellipsis:
             if _upper(lead) and (gap or run[-1] == "…" or len(run) >= 3):
@@ -341,11 +355,7 @@ def candidates(text: str, first: int, end: int) -> list[Candidate]:
             out.append(Candidate(j, True))
             continue
         token, earlier = _word_before(text, first, s)
-        if token[-1:].isdigit() and word.lower() in MONTHS:
-            continue  # an ordinal
-        if 0 < len(token) <= 3 and f"{token}.{word}".lower() in _SPELLED_APART:
-            continue  # between the parts of one abbreviation
-        out.append(Candidate(j, None, _features(token, earlier, word, mark, bool(tail)), (token.lower(), word)))
+        out.append(Candidate(j, None, *_seen(token, earlier, word, mark, bool(tail))))
     return out
 
 
@@ -371,183 +381,305 @@ def _sentence_start(text: str, first: int, done: list[Candidate]) -> int:
 
 # ------------------------------------------------------------------------------------------ classifier
 
+#: What is seen at a stop itself, a bit each.
+SEEN = (
+    "inner stop", "single letter", "number before", "short before", "lower before", "upper before", "closed before", "upper next", "lower next", "digit next", "caseless next",
+    "code next", "opening next", "file-like next", "long before", "dot next", "caseless before", "short next",
+)
+_BIT = {name: k for k, name in enumerate(SEEN)}
+#: What the counts of the corpus add.
 NAMES = (
-    "bias", "followed abbreviation", "ending abbreviation", "inner stop", "single letter", "number before", "short before", "lower before", "upper before", "closed before",
-    "upper next", "lower next", "digit next", "caseless next", "code next", "opening next", "month after number", "number after abbreviation", "file-like next", "followed and upper next",
-    "ending and upper next", "ending and lower next", "number and lower next", "long before", "dot next", "numbered before", "single letter and starter", "starter", "never starts", "before is mostly inside", "caseless before", "starter in lower case",
+    "bias", *SEEN, "never ends", "never ends and upper next", "never ends and digit next", "never ends and lower next", "before is mostly inside", "mostly inside and upper next",
+    "digits follow", "starter", "never starts", "starter in lower case", "follows numbers", "number and lower next", "number after abbreviation", "parts of one abbreviation", "single letter and upper next", "rare before",
+    "goes on", "goes on and upper next", "starter and goes on", "never ends and starter",
 )
 
 
-def _features(token: str, earlier: str, word: str, mark: str, closed: bool) -> tuple:
-    """What is seen at a stop; the last entries (how often the words start or stop) are filled in by the model."""
+#: Where the ridge pulls the weights: what an example-poor corpus starts from.
+BELIEF = {"bias": 1.0, "never ends": -1.5, "lower next": -2.0, "starter": 1.0, "follows numbers": -4.0, "parts of one abbreviation": -3.0, "inner stop": -0.5, "goes on": -1.0}
+
+
+def _plain(word: str) -> str:
+    """A word with every run of digits as one 9, so that numbers share their counts."""
+    return _re()["digits"].sub("9", word)
+
+
+def _seen(token: str, earlier: str, word: str, mark: str, closed: bool) -> tuple[int, str, str, str]:
+    """(bits of SEEN, token, next word, the token before a number) of a stop."""
     low = token.lower().rstrip(".")
     lead = word[:1] or mark or " "
     number = bool(token) and token[-1].isdigit()
-    followed, ending = low in FOLLOWED, low in ENDING
     code = mark == "`"  # the case of inline code says nothing
     upper, lower, digit = not code and _upper(lead), not code and lead.islower(), not code and lead.isdigit()
-    single = len(low) == 1 and low.isalpha()
-    caseless = not upper and not lower and lead.isalpha()
-    return (
-        1.0, followed, ending, "." in low and low.replace(".", "").isalpha() and not ending, single, number, len(low) <= 3 and not number, token[:1].islower(), token[:1].isupper(), closed,
-        upper, lower, digit, caseless, code, mark in "([{\"'“«„「『（¿¡", number and word.lower() in MONTHS, followed and digit, "." in word or "/" in word, followed and upper,
-        ending and upper, ending and lower, number and lower, len(low) >= 5, mark == ".", number and earlier.lower().rstrip(".") in FOLLOWED, single and upper,
-        0.0, 0.0, 0.0, bool(token) and token[-1].isalpha() and not token[-1].islower() and not token[-1].isupper(), float(lower),
+    flags = (
+        "." in low and low.replace(".", "").isalpha(), len(low) == 1 and low.isalpha(), number, len(low) <= 3 and not number, token[:1].islower(), token[:1].isupper(), closed, upper, lower, digit,
+        not upper and not lower and lead.isalpha(), code, mark in "([{\"'“«„「『（¿¡", "." in word or "/" in word, len(low) >= 5, mark == ".",
+        bool(token) and token[-1].isalpha() and not token[-1].islower() and not token[-1].isupper(), 0 < len(word) <= 2 and word.isalpha(),
     )
+    return sum(1 << k for k, f in enumerate(flags) if f), "9" if number else _plain(low), _plain(word), earlier.lower().rstrip(".") if number else ""
 
 
-_STARTER, _NEVER, _INSIDE, _LOWER = (NAMES.index(n) for n in ("starter", "never starts", "before is mostly inside", "starter in lower case"))
+#: Counts of a token that stands before a stop: the stop ends a block; a lower-case word, a digit, anything else follows.
+_TOKEN = ("ends", "lower", "digit", "other")
+#: Counts of a word: it begins a block; it follows a stop inside one; it follows a number and a stop.
+_WORD = ("begins", "follows", "after number")
 
 
-def _plain(word: str) -> str:
-    """A word with every run of digits as one 9, so that numbers share their counts."""
-    return _re()["digits"].sub("9", word)
+def _observations(state: int, bits: int, token: str, word: str) -> list[tuple[str, str, int]]:
+    """(t or w, token or word, which count) of a stop that ends a block (END) or may end a sentence (OPEN)."""
+    if state == END:
+        return [("t", token, 0), ("w", word, 0)]
+    follows = 1 if bits >> _BIT["lower next"] & 1 else 2 if bits >> _BIT["digit next"] & 1 else 3
+    out = [("t", token, follows), ("w", word, 1)]
+    return [*out, ("w", word, 2)] if bits >> _BIT["number before"] & 1 else out
+
+
+def _known_beforehand() -> dict[tuple[str, str], list[int]]:
+    out: dict[tuple[str, str], list[int]] = {("t", w): [0, PRIOR, PRIOR, PRIOR] for w in FOLLOWED}
+    for w in ENDING:
+        out["t", w] = [PRIOR // 2, PRIOR, 0, PRIOR // 2]
+    for w in MONTHS:
+        for form in (w, w.capitalize()):
+            out["w", form] = [0, PRIOR, PRIOR]
+    return out
 
 
 @dataclass
 class Model:
-    """Weights, and the counts behind three features: words that start blocks, words before lower-case continuations."""
+    """Weights, and the counts by token and by word that features are made of; the prior is in them."""
 
     weights: np.ndarray
-    starts: dict = field(default_factory=dict)
-    inside: dict = field(default_factory=dict)
-    stops: dict = field(default_factory=dict)
+    counts: dict
+    base: float = 0.3  # the share of all stops that end blocks
+    total_begins: float = 1.0
     _memo: dict = field(default_factory=dict, repr=False)
 
-    def row(self, c: Candidate) -> tuple:
-        before, word = c.words
-        word = _plain(word)
-        f = list(c.features)
-        s = self.starts.get(word, 0)
-        f[_STARTER] = float(np.log1p(s)) / 3
-        f[_NEVER] = float(s == 0 and word[:1].islower())
-        f[_LOWER] *= f[_STARTER]
-        i, o = self.inside.get(before, 0), self.stops.get(before, 0)
-        f[_INSIDE] = (i - o) / (i + o + 2)
-        return tuple(f)
-
-    def ends(self, c: Candidate) -> bool:
-        if c.verdict is not None:
-            return c.verdict
-        key = (c.words, c.features)
+    @classmethod
+    def of(cls, counts: Iterable[tuple[str, str, list[int]]]) -> Model:
+        """A model without weights from (t or w, token or word, counts)."""
+        merged, sums, begins = _known_beforehand(), np.zeros(4), 0
+        for kind, key, n in counts:
+            old = merged.get((kind, key))
+            merged[kind, key] = list(n) if old is None else [a + b for a, b in zip(old, n)]
+            if kind == "t":
+                sums += np.asarray(n, float)[:4]
+            else:
+                begins += n[0]
+        base = (sums[0] + 1) / (sums.sum() + 3)
+        return cls(np.zeros(len(NAMES)), merged, float(np.clip(base, 0.02, 0.9)), max(1.0, float(begins)))
+
+    def never_ends(self, token: str) -> float:
+        """How far a token ends blocks less often than tokens do that stand before so many stops, in deviations."""
+        n = self.counts.get(("t", token))
+        if not token or n is None or token == "9":
+            return 0.0
+        expected = self.base * sum(n)
+        return float(np.clip((expected - n[0]) / np.sqrt(expected + 1), -4, 4))
+
+    def row(self, bits: int, token: str, word: str, earlier: str) -> tuple:
+        has = lambda name: bits >> _BIT[name] & 1
+        ends, lower, digit, other = self.counts.get(("t", token), (0, 0, 0, 0)) if token and token != "9" else (0, 0, 0, 0)
+        begins, follows, after = self.counts.get(("w", word), (0, 0, 0))
+        n = ends + lower + digit + other
+        z = self.never_ends(token)
+        inside = (lower - ends) / (n + 2)
+        starter = float(np.log1p(1e4 * begins / self.total_begins)) / 3
+        number, on = has("number before"), self.goes_on(token)
+        return (
+            1.0, *(float(bits >> k & 1) for k in range(len(SEEN))), z, z * has("upper next"), z * has("digit next"), z * has("lower next"), inside, inside * has("upper next"), digit / (n + 2), starter,
+            float(has("lower next") and self.never_begins(word)), starter * has("lower next"), number * (after - begins) / (after + begins + 1), float(number and has("lower next")),
+            max(0.0, self.never_ends(earlier)) if number else 0.0, self.joined(token, word), float(has("single letter") and has("upper next")), 1.0 / (1 + n),
+            on, on * has("upper next"), on * starter, z * starter,
+        )
+
+    def joined(self, token: str, word: str) -> float:
+        """How surely token and word are parts of one abbreviation that is spelled apart (z. B.)."""
+        if not (0 < len(token) <= 2 and 0 < len(word) <= 3):
+            return 0.0
+        return max(0.0, self.never_ends(f"{token}.{word}".lower()))
+
+    def goes_on(self, token: str) -> float:
+        """The share of a token's stops that a lower-case word or a digit follows."""
+        n = self.counts.get(("t", token))
+        return (n[1] + n[2]) / (sum(n) + 1) if n is not None and token and token != "9" else 0.0
+
+    def never_begins(self, word: str) -> bool:
+        begins, follows, _ = self.counts.get(("w", word), (0, 0, 0))
+        return begins <= 0.01 * follows
+
+    def label(self, bits: int, token: str, word: str, earlier: str) -> int | None:
+        """1 or 0 for a stop inside a block that plainly is, or is not, the end of a sentence; None for all others."""
+        has = lambda name: bits >> _BIT[name] & 1
+        begins, follows, after = self.counts.get(("w", word), (0, 0, 0))
+        z = self.never_ends(token)
+        if has("lower next"):
+            if self.never_begins(word):
+                return 0
+            if begins >= 5 and begins >= 0.2 * follows and z < 0.5:
+                return 1  # a name in lower case
+        if self.joined(token, word) >= 2:
+            return 0
+        if has("number before") and after >= 5 and begins <= 0.02 * after and not has("digit next"):
+            return 0
+        if has("upper next") and begins >= 5 and 1e4 * begins / self.total_begins >= 5:
+            return 1 if self.goes_on(token) < 0.9 and not has("short next") else None
+        return 0 if z >= 2.5 else None
+
+    def train(self, stops: Iterable[tuple[int, int, str, str, str]], rounds: int = 400, ridge: float = 1e-3) -> Model:
+        """Fits the weights on the reliable ones of (state, bits, token, word, token before a number)."""
+        x, y = [], []
+        for state, *stop in stops:
+            label = 1 if state == END else self.label(*stop)
+            if label is not None:
+                x.append(self.row(*stop))
+                y.append(label)
+        before = np.zeros(len(NAMES))  # what is believed of the weights without any data
+        for name, value in BELIEF.items():
+            before[NAMES.index(name)] = value
+        w = before.copy()
+        if 0 < sum(y) < len(y):
+            x, y = np.asarray(x, float), np.asarray(y, float)
+            balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+            for _ in range(rounds):  # Newton steps until the weights rest
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                grad = x.T @ (balance * (p - y)) + ridge * (w - before)
+                hess = (x * (balance * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+                step = np.linalg.solve(hess, grad)
+                w -= step
+                if np.abs(step).max() < 1e-6:
+                    break
+        self.weights = w
+        return self
+
+    def ends(self, bits: int, token: str, word: str, earlier: str) -> bool:
+        key = (bits, token, word, earlier)
         if key not in self._memo:
             if len(self._memo) > 200_000:
                 self._memo.clear()
-            self._memo[key] = float(np.dot(self.weights, np.asarray(self.row(c), float))) > 0
+            self._memo[key] = float(np.dot(self.weights, np.asarray(self.row(*key), float))) > 0
         return self._memo[key]
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_memo"} | {"_memo": {}}
 
 
-def fit(texts: list[str], rounds: int = 400, ridge: float = 1e-3) -> Model:
-    """Fits the classifier on reliable stops of ``texts``.
+# --------------------------------------------------------------------------------------------- units
 
-    Reliable ends: the last stop of a block, joined with the first word of another block of the same text; a
-    stop between a plain word and a capitalised word that often starts blocks.
-    Reliable insides: a stop whose next word is in lower case and never starts a block, or whose word is a
-    known abbreviation before a digit or a lower-case letter. All other stops teach nothing.
-    """
-    starts, inside, stops = Counter(), Counter(), Counter()
-    parsed = []
-    for text in texts:
-        leads, lasts, inner = [], [], []
-        for first, end, kind in blocks(text):
-            if kind in ("code", "heading"):
-                continue
-            body = _sentence_start(text, first, [])
-            first = body if kind == "item" else first
-            mark, word = _next_word(text, body, end)
-            leads.append((mark, word))
-            tail = text[first:end].rstrip()
-            if tail.endswith(".") and not tail.endswith(".."):
-                lasts.append(_word_before(text, first, first + len(tail) - 1))
-            inner += [c for c in candidates(text, first, end) if c.verdict is None]
-        starts.update(_plain(w) for _, w in leads)
-        stops.update(t.lower() for t, _ in lasts)
-        parsed.append((leads, lasts, inner))
-    reliable: list[tuple[Candidate, int]] = []
-    for leads, lasts, inner in parsed:
-        for k, (token, earlier) in enumerate(lasts):
-            mark, word = leads[(k + 1) % len(leads)]
-            reliable.append((Candidate(0, None, _features(token, earlier, word, mark, False), (token.lower(), word)), 1))
-        for c in inner:
-            before, word = c.words
-            known = before.rstrip(".") in FOLLOWED or before.rstrip(".") in ENDING
-            if (word[:1].islower() and not starts[_plain(word)]) or (known and (word[:1].islower() or (word[:1].isdigit() and before in FOLLOWED))):
-                reliable.append((c, 0))
-                inside[before] += 1
-            elif before.rstrip(".") in FOLLOWED:
-                reliable.append((c, 0))
-                inside[before] += 1
-            elif starts[_plain(word)] >= 5 and word[:1].isupper() and len(before) >= 3 and before.isalpha() and before.islower() and not known:
-                reliable.append((c, 1))
-    # An end of a block says nothing about numbers: any word may stand there, so counts of numbers are left out.
-    inside = Counter({w: n for w, n in inside.items() if w and not w[-1].isdigit()})
-    stops = Counter({w: n for w, n in stops.items() if w and not w[-1].isdigit()})
-    model = Model(np.zeros(len(NAMES)), dict(starts), dict(inside), dict(stops))
-    if not reliable:
-        model.weights[NAMES.index("bias")] = 1.0
-        for name, w in (("followed abbreviation", -4.0), ("lower next", -2.0), ("starter", 2.0)):
-            model.weights[NAMES.index(name)] = w
-        return model
-    x = np.asarray([model.row(c) for c, _ in reliable], float)
-    y = np.asarray([t for _, t in reliable], float)
-    balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):  # Newton steps until the weights rest
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (balance * (p - y)) + ridge * w
-        hess = (x * (balance * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    model.weights = w
-    return model
+#: States of a point of a text: a stop for the classifier, a sure end, the end of a block; END is no point but an example.
+OPEN, SURE, BLOCK, END = range(4)
 
 
-# --------------------------------------------------------------------------------------------- units
+def points(text: str | None) -> tuple[int, list[tuple]]:
+    """(where the first unit begins, points); a point is (state, end, next beginning, bits, token, word, token before a number).
+
+    The stop that a block ends with is told once more, as an END with the first word of the block after it (of
+    the text's first block for the last): examples for the classifier.
+    """
+    out: list[tuple] = []
+    start, leads, lasts = 0, [], []
+    n = len(text or "")
+    for first, end, kind in blocks(text or ""):
+        a, b = first, end
+        while a < b and text[a].isspace():
+            a += 1
+        while b > a and text[b - 1].isspace():
+            b -= 1
+        if a == b:
+            continue
+        if out:
+            out[-1] = (*out[-1][:2], a, *out[-1][3:])
+        else:
+            start = a
+        if kind not in ("code", "heading"):
+            lead = _sentence_start(text, first, [])
+            body = lead if kind == "item" else first  # the stop of a marker ends nothing
+            for c in candidates(text, body, end):
+                if c.verdict is not False:
+                    after = c.end
+                    while after < n and text[after].isspace():
+                        after += 1
+                    out.append((OPEN if c.verdict is None else SURE, c.end, after, c.bits, c.token, c.word, c.earlier))
+            leads.append(_next_word(text, lead, end))
+            if text[b - 1] == "." and not text.endswith("..", 0, b):
+                lasts.append((len(leads) - 1, _word_before(text, body, b - 1)))
+        out.append((BLOCK, b, b, 0, "", "", ""))
+    for k, (token, earlier) in lasts:
+        mark, word = leads[(k + 1) % len(leads)]
+        out.append((END, 0, 0, *_seen(token, earlier, word, mark, False)))
+    return start, out
 
 
 def units(text: str | None, model: Model) -> list[tuple[int, int]]:
     """(start, end) of the sentence units of a text in code points, from the first to the last non-blank character."""
-    if not text:
-        return []
     out = []
+    start, all_points = points(text)
+    for state, end, after, *stop in all_points:
+        if state == END:
+            break
+        if state != OPEN or model.ends(*stop):
+            if end > start:
+                out.append((start, end))
+            start = after
+    return out
 
-    def put(a: int, b: int):
-        piece = text[a:b]
-        s = piece.strip()
-        if s:
-            a += len(piece) - len(piece.lstrip())
-            out.append((a, a + len(s)))
 
-    for first, end, kind in blocks(text):
-        at = first
-        if kind not in ("code", "heading"):
-            body = _sentence_start(text, first, []) if kind == "item" else first  # the stop of a marker ends nothing
-            for c in candidates(text, body, end):
-                if model.ends(c):
-                    put(at, c.end)
-                    at = c.end
-        put(at, end)
-    return out
+def fit(texts: list[str]) -> Model:
+    """The model of a few texts, counted and fitted here; :func:`fit_corpus` is the same over a table."""
+    counts, stops = {}, []
+    for text in texts:
+        for state, _, _, *stop in points(text)[1]:
+            if state in (OPEN, END):
+                stops.append((state, *stop))
+                for kind, key, which in _observations(state, *stop[:3]):
+                    counts.setdefault((kind, key), [0] * (len(_TOKEN) if kind == "t" else len(_WORD)))[which] += 1
+    return Model.of((kind, key, n) for (kind, key), n in counts.items()).train(stops)
+
+
+_POINTS = "doc_id long, first int, state array<int>, at array<int>, after array<int>, bits array<int>, token array<string>, word array<string>, earlier array<string>"
+
+
+def _parse(batches: Iterator) -> Iterator:
+    """mapInArrow: (doc_id, text) -> the points of each text."""
+    import pyarrow as pa
+
+    kinds = [pa.int32()] * 4 + [pa.string()] * 3
+    names = [c.split()[0] for c in _POINTS.split(", ")]
+    for batch in batches:
+        firsts, lists = [], [[] for _ in kinds]
+        for text in batch.column(1).to_pylist():
+            start, all_points = points(text)
+            firsts.append(start)
+            for held, column in zip(lists, zip(*all_points) if all_points else [()] * len(kinds)):
+                held.append(column)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.int32()), *(pa.array(v, pa.list_(t)) for v, t in zip(lists, kinds))], names=names)
 
 
-def fit_sample(documents: DataFrame, limit: int = TRAINING_DOCUMENTS) -> Model:
-    """The model fitted on at most ``limit`` documents, chosen by a hash of doc_id and so the same at every call.
+def fit_corpus(parsed: DataFrame, limit: int = TRAINING_STOPS, rare: float = RARE) -> Model:
+    """The model of all documents, from the table of their points.
 
-    The hash threshold comes from the number of documents, so the driver receives about ``limit`` texts
-    however large the corpus and however many its partitions.
+    Tokens and words are counted over all of them. What the driver receives is bounded: counts of those that
+    make up at least ``rare`` of all observations, and about ``limit`` stops, chosen by a hash.
     """
-    texts = documents.where("text is not null and text <> ''")
-    n = texts.count()
-    sample = texts.select("text", F.xxhash64("doc_id").alias("h"))
-    if n > limit:
-        share = 0.9 * limit / n  # ids are spread evenly: more than limit is out of reach
-        sample = sample.where(F.col("h") < int(-(1 << 63) + share * (1 << 64)))
-    return fit([r["text"] for r in sample.limit(limit).collect()])
+    stop = F.explode(F.filter(F.arrays_zip("state", "bits", "token", "word", "earlier"), lambda p: p["state"].isin(OPEN, END))).alias("p")
+    stops = parsed.select("doc_id", stop).select("doc_id", "p.*")
+    bit = lambda name: (F.shiftright("bits", _BIT[name]) % 2) == 1
+    ended = F.col("state") == END
+    one = lambda condition: F.when(condition, 1).otherwise(0)
+    lower, digit = ~ended & bit("lower next"), ~ended & ~bit("lower next") & bit("digit next")
+    of_token = F.array(one(ended), one(lower), one(digit), one(~ended & ~bit("lower next") & ~bit("digit next")))
+    of_word = F.array(one(ended), one(~ended), one(~ended & bit("number before")), F.lit(0))
+    seen = stops.select(F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("token").alias("key"), of_token.alias("n")), F.struct(F.lit("w").alias("kind"), F.col("word").alias("key"), of_word.alias("n")))).alias("o"))
+    counts = materialize(seen.groupBy("o.kind", "o.key").agg(*[F.sum(F.col("o.n")[k]).alias(f"n{k}") for k in range(4)]), "stop-counts")
+    total = counts.agg(F.sum(F.when(F.col("kind") == "t", F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")))).first()[0] or 0
+    common = counts.where(F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") >= rare * total)
+    model = Model.of((r["kind"], r["key"], [r["n0"], r["n1"], r["n2"], r["n3"]] if r["kind"] == "t" else [r["n0"], r["n1"], r["n2"]]) for r in common.collect())
+    sample = stops
+    if total > limit:
+        share = 0.9 * limit / total  # places are spread evenly: more than limit is out of reach
+        sample = parsed.select("doc_id", F.posexplode(F.arrays_zip("state", "bits", "token", "word", "earlier")).alias("i", "p")).where(F.xxhash64("doc_id", "i") < int(-(1 << 63) + share * (1 << 64)))
+        sample = sample.where(F.col("p.state").isin(OPEN, END)).select("p.*")
+    rows = sample.select("state", "bits", "token", "word", "earlier").limit(limit).collect()
+    return model.train(map(tuple, rows))
 
 
 _UNITS = "doc_id long, start_pos long, end_pos long"
@@ -557,22 +689,36 @@ def sentence_units(documents: DataFrame, model: Model | None = None) -> DataFram
     """(doc_id, start_pos, end_pos) of every sentence of every document; positions are code points, end exclusive.
 
     ``documents`` needs ``doc_id`` and ``text``; other columns are ignored. NULL, empty and blank texts have no
-    units. Whole texts are cut, however long, without a shuffle. ``model`` defaults to :func:`fit_sample`.
+    units. Whole texts are read, however long, once and without a shuffle; their points are kept in the shared
+    folder until the classifier is fitted (:func:`fit_corpus`, unless a ``model`` is given) and then decided.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model or fit_sample(documents))
+    parsed = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(_parse, _POINTS)
+    if model is None:
+        parsed = materialize(parsed, "sentence-points")
+        model = fit_corpus(parsed)
+    shared = spark.sparkContext.broadcast(model)  # bounded: see fit_corpus
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = shared.value
+        ends = shared.value.ends
         for batch in batches:
-            docs, first, last = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, b in units(text, model):
-                    docs.append(doc)
-                    first.append(a)
-                    last.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (docs, first, last)], names=["doc_id", "start_pos", "end_pos"])
-
-    return documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _UNITS)
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            flat = [batch.column(k).flatten() for k in range(2, 9)]
+            state, at, after = (c.to_numpy().astype(np.int64) for c in flat[:3])
+            open_ = np.flatnonzero(state == OPEN)
+            keep = (state == SURE) | (state == BLOCK)
+            if len(open_):
+                take = pa.array(open_)
+                keep[open_] = list(map(ends, *(c.take(take).to_pylist() for c in flat[3:])))
+            doc = np.repeat(np.arange(len(sizes)), sizes)[keep]
+            end, begin = at[keep], after[keep]
+            starts = np.empty(len(end), np.int64)
+            starts[1:] = begin[:-1]
+            new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
+            starts[new] = batch.column(1).to_numpy()[doc[new]]
+            real = end > starts
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[real])), pa.array(starts[real]), pa.array(end[real])], names=["doc_id", "start_pos", "end_pos"])
+
+    return parsed.mapInArrow(cut, _UNITS)
