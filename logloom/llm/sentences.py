@@ -48,7 +48,9 @@ _FULL = "。！？｡．"  # stops of unspaced scripts
 _SURE = "!?؟।॥۔"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "《": "》", "〈": "〉", "（": "）", "【": "】", "［": "］", "‹": "›", "｢": "｣", "„": "“", "‚": "‘", "‘": "’"}
 _CLOSERS = frozenset(")]}”»」』》〉）】］›｣’\"'“‘")
+_OPENING = "([{\"'“«„‚‘「『（¿¡>*_-"
 _BRACKETS = frozenset("([{（［【")
+_NEXT_STRIP = "([{\"'“«„‚‘「『（¿¡`>*_- \t\r\n"
 
 
 @lru_cache(maxsize=1)
@@ -66,6 +68,8 @@ def _re():
         "address": re.compile(r"(?<![a-z+.-])[a-z][a-z+.-]{0,15}://[^\s<>\"'“”«»]+"),
         "candidate": re.compile(rf"[{_STOPS}]+|(?<=[฀-๿])[ \t \r\n]+(?=[฀-๿])"),
         "digits": re.compile(r"\d+"),
+        "paired": re.compile("[" + re.escape("\"'" + "".join(_PAIRS) + "".join(_PAIRS.values())) + "]"),
+        "next": re.compile(r"\s*(?=(\S?))[" + re.escape(_NEXT_STRIP) + r"]*(\S*)"),
     }
 
 
@@ -187,27 +191,26 @@ class Candidate:
 def _enclosed(text: str, first: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Spans of inline code and addresses; matched pairs of quotes and brackets (outermost only) outside them."""
     r = _re()
-    code = [m.span() for m in r["code"].finditer(text, first, end)]
-    code += [m.span() for m in r["address"].finditer(text, first, end) if not any(a <= m.start() < b for a, b in code)]
-    code.sort()
+    code = [m.span() for m in r["code"].finditer(text, first, end)] if text.find("`", first, end) >= 0 else []
+    if text.find("://", first, end) >= 0:
+        code += [m.span() for m in r["address"].finditer(text, first, end) if not any(a <= m.start() < b for a, b in code)]
+        code.sort()
     skip = iter([*code, (end, end)])
     a, b = next(skip)
     last: dict[str, int] = {}  # of each closing mark the last place in the block
     stack: list[tuple[str, int]] = []
     waiting: Counter = Counter()  # closing marks in the stack
     pairs: list[tuple[int, int]] = []
-    i = first
-    while i < end:
-        if i >= a and a < end:
-            i = max(i, b)
+    for m in r["paired"].finditer(text, first, end):
+        i, ch = m.start(), m[0]
+        while i >= b and a < end:
             a, b = next(skip)
+        if a <= i < b:
             continue
-        ch = text[i]
         if stack and ch == stack[-1][0]:
             if ch != "'" and ch != "’" or not text[i + 1 : i + 2].isalnum():
                 pairs.append((stack.pop()[1], i + 1))
                 waiting[ch] -= 1
-                i += 1
                 continue
         elif ch in "\"'":
             before, after = text[i - 1 : i] if i > first else " ", text[i + 1 : i + 2]
@@ -229,7 +232,6 @@ def _enclosed(text: str, first: int, end: int) -> tuple[list[tuple[int, int]], l
                 waiting[stack.pop()[0]] -= 1
             pairs.append((stack.pop()[1], i + 1))
             waiting[ch] -= 1
-        i += 1
     pairs.sort(key=lambda p: (p[0], -p[1]))
     outer: list[tuple[int, int]] = []
     for p in pairs:
@@ -240,47 +242,47 @@ def _enclosed(text: str, first: int, end: int) -> tuple[list[tuple[int, int]], l
 
 def _word_before(text: str, first: int, stop: int) -> tuple[str, str]:
     """The token that ends at ``stop`` and the one before it; spelled-apart abbreviations (z. B, т. е) come as one."""
-    i = stop
-    while i > first and not text[i - 1].isspace():
-        i -= 1
-    token = text[i:stop].lstrip("([{\"'“«„‚‘「『（¿¡>*_-")
+    back = 48
+    while True:  # further back until three words are there, so that two are whole
+        at = max(first, stop - back)
+        words = text[at:stop].split()
+        if at == first or len(words) > 2:
+            break
+        back *= 4
+    if at == stop or text[stop - 1].isspace():
+        words.append("")
+    token = words[-1].lstrip(_OPENING)
     head, mark, rest = token.partition("’" if "’" in token else "'")
     if mark and len(head) <= 2 and head.isalpha() and rest:  # an elided article: l'art
         token = rest
-    j = i
-    while j > first and text[j - 1].isspace():
-        j -= 1
-    k = j
-    while k > first and not text[k - 1].isspace():
-        k -= 1
-    before = text[k:j].lstrip("([{\"'“«„‚‘「『（¿¡>*_-")
+    before = words[-2].lstrip(_OPENING) if len(words) > 1 else ""
     head = before.rstrip(".")
-    if 0 < len(token) <= 3 and 0 < len(head) <= 2 and before.endswith(".") and token.isalpha() and head.isalpha() and j > k:
+    if 0 < len(token) <= 3 and 0 < len(head) <= 2 and before.endswith(".") and token.isalpha() and head.isalpha():
         return f"{head}.{token}", ""
     return token, before
 
 
-_NEXT_STRIP = "([{\"'“«„‚‘「『（¿¡`>*_- \t\r\n"
-
-
 def _next_word(text: str, at: int, end: int) -> tuple[str, str]:
     """(first character after blanks, first word after opening marks)."""
-    i = at
-    while i < end and text[i].isspace():
-        i += 1
-    mark = text[i : i + 1]
-    while i < end and text[i] in _NEXT_STRIP:
-        i += 1
-    j = i
-    while j < end and not text[j].isspace():
-        j += 1
-    return mark, text[i:j].rstrip(".,;:!?…)]}\"'”»“`")
+    m = _re()["next"].match(text, at, end)
+    return m[1], m[2].rstrip(".,;:!?…)]}\"'”»“`")
+
+
+@lru_cache(maxsize=10_000)
+def _stops(run: str) -> tuple[bool, bool, bool, bool]:
+    """Of a run of stops: is it an ellipsis, has it stops of unspaced scripts, those or a danda, sure ones."""
+    some = set(run)
+    ellipsis = ("…" in run or ".." in run) and not some & set(_SURE + _FULL)
+    return ellipsis, bool(some & set(_FULL)), bool(some & set(_FULL + "।")), bool(some & set(_SURE))
 
 
 def candidates(text: str, first: int, end: int) -> list[Candidate]:
     """The candidates of the block ``text[first:end]`` in order, without its own end."""
     r = _re()
     code, pairs = _enclosed(text, first, end)
+    last = end
+    while last > first and text[last - 1].isspace():
+        last -= 1
     out: list[Candidate] = []
     ci = pi = 0
     for m in r["candidate"].finditer(text, first, end):
@@ -312,7 +314,7 @@ def candidates(text: str, first: int, end: int) -> list[Candidate]:
                 continue
         while j < end and (text[j] in _CLOSERS and not (text[j] in "\"'“‘" and not _closes_here(text, j, end)) or text[j] in _STOPS):
             j += 1
-        if j >= end or not text[j:end].strip():
+        if j >= last:
             continue  # the end of the block
         if out and out[-1].end >= j:
             continue
@@ -321,12 +323,12 @@ def candidates(text: str, first: int, end: int) -> list[Candidate]:
         lead = word[:1] or mark
         before_ch = text[s - 1] if s > first else " "
         tail = text[e:j].strip(_STOPS)
-        ellipsis = ("…" in run or ".." in run) and not set(run) & set(_SURE + _FULL)
+        ellipsis, full, danda, sure = _stops(run)
         if opened >= 0:
             # the mark closes a quotation or bracket whose own last sentence stops here
             whole = opened == _sentence_start(text, first, out)
-            if script(lead) in ("cjk", "hangul", "thai", "deva", "arabic") or set(run) & set(_FULL + "।"):
-                if whole and text[opened] in _BRACKETS and (gap or set(run) & set(_FULL)):
+            if script(lead) in ("cjk", "hangul", "thai", "deva", "arabic") or danda:
+                if whole and text[opened] in _BRACKETS and (gap or full):
                     out.append(Candidate(j, True))
                 continue
             if not gap:
@@ -342,7 +344,7 @@ def candidates(text: str, first: int, end: int) -> list[Candidate]:
             if _upper(lead) and (gap or run[-1] == "…" or len(run) >= 3):
                 out.append(Candidate(j, True))
             continue
-        if set(run) & set(_FULL) or (run[0] in "।॥۔؟"):
+        if full or (run[0] in "।॥۔؟"):
             out.append(Candidate(j, True))
             continue
         if script(before_ch) == "cjk":
@@ -351,7 +353,7 @@ def candidates(text: str, first: int, end: int) -> list[Candidate]:
             continue
         if not gap:
             continue
-        if set(run) & set(_SURE):
+        if sure:
             out.append(Candidate(j, True))
             continue
         token, earlier = _word_before(text, first, s)
@@ -401,9 +403,10 @@ BELIEF = {"bias": 1.0, "never ends": -1.5, "lower next": -2.0, "starter": 1.0, "
 
 def _plain(word: str) -> str:
     """A word with every run of digits as one 9, so that numbers share their counts."""
-    return _re()["digits"].sub("9", word)
+    return word if word.isalpha() else _re()["digits"].sub("9", word)
 
 
+@lru_cache(maxsize=100_000)
 def _seen(token: str, earlier: str, word: str, mark: str, closed: bool) -> tuple[int, str, str, str]:
     """(bits of SEEN, token, next word, the token before a number) of a stop."""
     low = token.lower().rstrip(".")
