@@ -57,20 +57,25 @@ def path_values(lines: DataFrame, body: str = "body", keep: list[str] | None = N
 
 
 def value_sort(kind: Column, value: Column) -> Column:
-    """What sort of value this is: a coarse class, with the prefix of identifiers, the digits-free form of single words, the keys of objects."""
-    word = F.regexp_replace(value, r"\d+", "9")
+    """What sort of value this is: a coarse class, with the prefix of identifiers, the digits-free form of single words, the keys of objects.
+
+    A look at the first character decides which patterns can fit, so that few are tried.
+    """
+    word = F.lower(F.regexp_replace(value, r"\d+", "9"))
+    first = F.substring(value, 1, 1)
+    counted, lettered = first.between("0", "9") | (first == "-"), first.between("A", "Z") | first.between("a", "z")
     text = (
         F.when(value == "", "empty")
-        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), "instant")
-        .when(value.rlike(r"^\s*[{]"), "object text")
-        .when(value.rlike(r"^\s*[\[]"), "array text")
-        .when(value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number text")
-        .when(value.rlike(r"^v?\d+(\.\d+)+[\w.+-]*$"), "version")
-        .when(value.rlike(r"^[a-z][a-z+]*://"), "address")
-        .when(value.rlike(r"^(/|~/|[A-Za-z]:\\)[^\s]*$"), "path")
-        .when(value.rlike(r"^[A-Za-z]+[_-][0-9a-f]{8,}$"), F.concat(F.lit("id "), F.regexp_extract(value, r"^([A-Za-z]+)", 1)))
-        .when(value.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-"), "uuid")
-        .when(~value.rlike(r"\s") & (F.length(value) <= 32) & value.rlike(r"^[\x21-\x7e]+$"), F.concat(F.lit("word "), F.lower(word)))
+        .when(counted & value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), "instant")
+        .when(counted & value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number text")
+        .when((counted | (first == "v")) & value.rlike(r"^v?\d+(\.\d+)+[\w.+-]*$"), "version")
+        .when(lettered & F.contains(value, F.lit("://")) & value.rlike(r"^[a-z][a-z+]*://"), "address")
+        .when((first.isin("/", "~") | lettered) & value.rlike(r"^(/|~/|[A-Za-z]:\\)[^\s]*$"), "path")
+        .when(lettered & value.rlike(r"^[A-Za-z]+[_-][0-9a-f]{8,}$"), F.concat(F.lit("id "), F.regexp_extract(value, r"^([A-Za-z]+)", 1)))
+        .when((counted | lettered) & value.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-"), "uuid")
+        .when(~(counted | lettered) & value.rlike(r"^\s*[{]"), "object text")
+        .when(~(counted | lettered) & value.rlike(r"^\s*[\[]"), "array text")
+        .when(value.rlike(r"^[\x21-\x7e]+$"), F.concat(F.lit("word "), F.when(F.length(word) <= 32, word).otherwise(F.hex(F.xxhash64(word)))))  # a long word by its hash
         .otherwise("text")
     )
     number = value.try_cast("double")
@@ -84,6 +89,8 @@ def value_sort(kind: Column, value: Column) -> Column:
     )
 
 
+#: The share of distinct words among a path's words from which on they count as made up for each record.
+MADE_UP = 0.5
 _FILES = "file_id long, stream_id string, written_at timestamp, piece int, place long, previous long"
 
 
@@ -148,12 +155,13 @@ def path_statistics(lines: DataFrame) -> DataFrame:
     """Lines counted per file, kind, path, type and sort of value in one pass; the path '' stands for the line itself."""
     rows = path_values(lines.select(F.col("file_id").cast("long").alias("file_id"), "stream_id", "written_at", "body"), keep=["file_id", "stream_id", "written_at"])
     entry = F.explode(F.concat(F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("type"), F.lit("").alias("value"))), F.col("entries")))
-    return materialize(
-        rows.select("file_id", "stream_id", "written_at", "kind", entry.alias("e"))
-        .groupBy("file_id", "stream_id", "written_at", "kind", F.col("e.path").alias("path"), F.col("e.type").alias("type"), F.when(F.col("e.path") != "", value_sort(F.col("e.type"), F.col("e.value"))).alias("sort"))
-        .agg(F.count("*").alias("n")),  # text in the keys, not in the aggregates: a hash aggregate without a sort
-        "path-statistics",
-    )
+    # A projection that holds a lambda is compiled by itself, in small methods; as part of a whole stage the patterns of
+    # value_sort would make one method that is too long for the JVM to compile.
+    path = F.element_at(F.transform(F.array("e.path"), lambda p: p), 1).alias("path")
+    sort = F.when(F.col("e.path") != "", value_sort(F.col("e.type"), F.col("e.value"))).alias("sort")
+    keys = ["file_id", "stream_id", "written_at", "kind", "path", "type", "sort"]
+    sorted_values = rows.select("file_id", "stream_id", "written_at", "kind", entry.alias("e")).select(*keys[:4], path, F.col("e.type").alias("type"), sort)
+    return materialize(sorted_values.groupBy(*keys).agg(F.count("*").alias("n")), "path-statistics")  # text in the keys, not in the aggregates: a hash aggregate without a sort
 
 
 def changes_between(stats: DataFrame) -> DataFrame:
@@ -179,8 +187,9 @@ def changes_between(stats: DataFrame) -> DataFrame:
     met = met.where(same_kinds).select("file_id", "old_path", "new_path", "type", F.size("ko").alias("n_kinds"), F.arrays_overlap("old.sorts", "new.sorts").alias("here"), _coarse("old.sorts").alias("co"), _coarse("new.sorts").alias("cn"))
     met = materialize(met.where(F.arrays_overlap("co", "cn")), "rename-candidates")
 
-    # For words, the vocabulary of a path over all files decides where two small files happen to share no word.
-    words = stats.where("path <> ''").select("path", "type", "sort").distinct()
+    # For words, the vocabulary of a path over all files decides where two small files happen to share no word. Paths
+    # whose words hardly ever come twice hold names made up for each record, which are of one sort among themselves.
+    words = stats.where("path <> '' and sort like 'word %'").groupBy("path", "type", "sort").agg(F.sum("n").alias("n"))
     wanted = met.select("old_path", "new_path", "type").distinct()
     common = (
         wanted.join(words.select(F.col("path").alias("old_path"), "type", "sort"), ["old_path", "type"])
@@ -188,9 +197,11 @@ def changes_between(stats: DataFrame) -> DataFrame:
         .groupBy("old_path", "new_path", "type")
         .agg(F.count("*").alias("common"))
     )
-    size = words.groupBy("path", "type").agg(F.count("*").alias("n"))
-    common = common.join(size.select(F.col("path").alias("old_path"), "type", F.col("n").alias("n_old")), ["old_path", "type"]).join(size.select(F.col("path").alias("new_path"), "type", F.col("n").alias("n_new")), ["new_path", "type"])
-    common = common.select("old_path", "new_path", "type", (F.col("common") / F.least("n_old", "n_new")).alias("alike"))
+    size = words.groupBy("path", "type").agg(F.count("*").alias("n"), F.sum("n").alias("values"))
+    of = lambda side: size.select(F.col("path").alias(f"{side}_path"), "type", F.col("n").alias(f"n_{side}"), (F.col("n") > F.col("values") * MADE_UP).alias(f"made_up_{side}"))
+    common = wanted.join(common, ["old_path", "new_path", "type"], "left").join(of("old"), ["old_path", "type"]).join(of("new"), ["new_path", "type"])
+    alike = F.when(F.col("made_up_old") & F.col("made_up_new"), 1.0).otherwise(F.coalesce("common", F.lit(0)) / F.least("n_old", "n_new"))
+    common = common.select("old_path", "new_path", "type", alike.alias("alike"))
     scored = met.join(common, ["old_path", "new_path", "type"], "left").withColumn("alike", F.coalesce("alike", F.lit(0.0)))
     scored = scored.where(F.col("here") | (F.col("alike") > 0)).withColumn("rank", F.struct("here", "alike", "n_kinds", F.col("new_path")))
     best_old = scored.groupBy("file_id", "old_path").agg(F.max_by("new_path", "rank").alias("new_path"))
