@@ -1,204 +1,128 @@
 """Written rules bound to detectors: markdown -> sections -> sentences -> exactly one shape -> state.
 
-Markdown is read by one Arrow pass per file (a line automaton); sentences meet the shapes as boolean
-columns of one plan, never as a join.
+Markdown is read by one Arrow pass per file (:mod:`logloom.functions.markdown`); sentences meet the shapes as
+boolean columns of one plan, never as a join. What takes a rule back is looked for among the sentences' words.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions import markdown
 from logloom.functions.patterns import java_regex
 
-# Words that unbind a whole rule, words that unbind their sentence, phrases that deny an exception.
-EXCEPTION_WORDS = r"\b(?:except(?:ed|ing|ions?)?|exempt(?:ed|ing|s|ions?)?|unless|other\s+than|apart\s+from|excluding|allowed|fine|okay|ok)\b"
-CONDITION_WORDS = r"\b(?:if|when|but|however|without)\b"
-DENIED_EXCEPTIONS = ("admit no exception", "allow no exception", "make no exception", "with no exception", "without any exception", "without exception", "no exception")
-ABBREVIATIONS = ("e.g", "i.e", "etc", "vs", "cf")
-
-
-@lru_cache(maxsize=1)
-def _re():
-    return {
-        "fence": re.compile(r" {0,3}(`{3,}|~{3,})(.*)$"),
-        "heading": re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*$"),
-        "closing": re.compile(r"(?:^|[ \t])#+[ \t]*$"),
-        "list": re.compile(r"\s*(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)"),
-        "quote": re.compile(r" {0,3}>"),
-        "definition": re.compile(r" {0,3}\[[^\]]+\]:\s*\S+"),
-        "image": re.compile(r"\[?!\[[^\]]*\]\([^)]*\)(?:\]\([^)]*\))?"),
-        "rule": re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-*:?[ \t]*)*$"),
-        "link": re.compile(r"\[([^\]]*)\]\([^)]*\)"),
-        "task": re.compile(r"\[[ xX]\][ \t]+"),
-        "emphasis": re.compile(r"(?<![A-Za-z0-9])_+|_+(?![A-Za-z0-9])"),
-        "ends": re.compile(r"(?<=[.!?])\s+"),
-        "short": re.compile(r"(?:^|[\s(\[])(?:" + "|".join(map(re.escape, ABBREVIATIONS)) + r")\.$", re.I),
-    }
+# Words that unbind a whole rule, words that unbind their sentence, phrases that deny an exception
+# where a clause ends after them.
+EXCEPTIONS = "except excepted excepting exception exceptions exempt exempted exempting exempts exemption exemptions unless excluding allowed fine okay ok".split()
+EXCEPTION_PHRASES = ("other than", "apart from")
+CONDITIONS = "if when but however without".split()
+DENIALS = ("without any exception", "admit no exception", "allow no exception", "make no exception", "with no exception", "without exception", "no exception")
 
 
 def line_kinds(text: str) -> list[tuple[str, str]]:
-    """(kind, visible line) of each line: heading, fence, comment, code, table, quote, blank or text."""
-    r, out, fence, commented = _re(), [], "", False
-    for line in re.split(r"\r\n|\r|\n", text):
-        if fence:
-            out.append(("fence", line))
-            m = r["fence"].match(line)
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip():
-                fence = ""
-            continue
-        was, seen, rest = commented, [], line
-        while rest:  # what stands outside comments
-            mark = "-->" if commented else "<!--"
-            head, found, rest = rest.partition(mark)
-            if not commented:
-                seen.append(head)
-            if found:
-                commented = not commented
-        seen = "".join(seen)
-        before = out[-1][0] if out else ""
-        m = None if was else r["fence"].match(seen)
-        letters = any(c.isalnum() for c in seen)
-        indent = len(seen) - len(seen.lstrip(" \t")) if "\t" not in seen else len(seen[: len(seen) - len(seen.lstrip(" \t"))].expandtabs(4))
-        if m and not (m[1][0] == "`" and "`" in m[2]):
-            fence, kind = m[1], "fence"
-        elif seen != line and not letters:
-            kind = "comment"
-        elif seen.strip() and indent >= 4 and before in ("", "blank", "heading", "code", "fence", "comment"):
-            kind = "code"
-        elif r["heading"].match(seen):
-            kind = "heading"
-        elif not seen.strip():
-            kind = "blank"
-        elif r["quote"].match(seen) or (before == "quote" and not r["list"].match(seen)):
-            kind = "quote"
-        elif seen.lstrip(" ").startswith("|"):
-            kind = "table"
-        elif r["definition"].match(seen) or (r["image"].search(seen) and not r["image"].sub("", seen).strip()):
-            kind = "blank"
-        else:
-            kind = "text" if letters else "blank"
-        if kind in ("text", "blank") and before == "text" and "|" in seen and "-" in seen and "|" in out[-1][1] and r["rule"].match(seen):
-            out[-1], kind = ("table", out[-1][1]), "table"
-        elif kind == "text" and before == "table" and "|" in seen:
-            kind = "table"
-        out.append((kind, seen))
-    return out
+    """(kind, visible line) of each line."""
+    return [(line.kind, line.text) for line in markdown.lines(text)]
 
 
 def sections(text: str) -> list[dict]:
-    """Headings with their paragraphs; ``anchor`` is unique in the file, counted over every heading. Text before the first heading is in none."""
-    r, out, anchors = _re(), [], {}
-    kinds = line_kinds(text)
-    for n, (kind, line) in enumerate(kinds):
-        if kind == "heading":
-            title = r["closing"].sub("", r["heading"].match(line)[2] or "").strip()
-            base = slug(title)
-            anchors[base] = anchors.get(base, 0) + 1
-            out.append({"heading": title, "line": n, "anchor": base if anchors[base] == 1 else f"{base}-{anchors[base]}", "paragraphs": []})
-        elif kind == "text" and out:
-            held = out[-1]["paragraphs"]
-            if held and kinds[n - 1][0] == "text" and not r["list"].match(line):
-                held[-1] += " " + line.strip()
-            else:
-                held.append(line.strip())
-    return out
-
-
-def slug(heading: str) -> str:
-    """The anchor of a heading."""
-    r = _re()
-    kept = re.sub(r"[^\w\- ]", "", r["emphasis"].sub("", r["link"].sub(r"\1", heading)).strip().lower()).strip()
-    return kept.replace(" ", "-") or "section"
-
-
-def normalised(text: str) -> str:
-    """A paragraph as shapes read it: no list, task, emphasis, code or link marks, plain apostrophes, single blanks."""
-    r = _re()
-    text = r["task"].sub("", r["list"].sub("", text, count=1).lstrip(), count=1) if not r["task"].match(text) else r["task"].sub("", text, count=1)
-    text = r["emphasis"].sub("", re.sub(r"[`*]+", "", r["link"].sub(r"\1", text)))
-    return " ".join(text.replace("’", "'").split())
-
-
-def split_sentences(text: str) -> list[str]:
-    """Sentences of a normalised paragraph: no cut in parentheses or after the known abbreviations."""
-    out, start, depth, last = [], 0, 0, 0
-    for m in _re()["ends"].finditer(text):
-        depth = max(0, depth + text.count("(", last, m.start()) - text.count(")", last, m.start()))
-        last = m.start()
-        if not depth and not _re()["short"].search(text[max(0, last - 6) : last]):
-            out.append(text[start:last])
-            start = m.end()
-    return [*out, text[start:]] if text[start:] else out
+    """The sections of :func:`logloom.functions.markdown.sections` as mappings."""
+    return [vars(s) for s in markdown.sections(text)]
 
 
+slug, normalised, split_sentences = markdown.slug, markdown.normalised, markdown.sentences
+
 _SECTIONS = "path string, anchor string, heading string, line int, is_rule boolean, sentences array<string>"
 
 
+def _per_file(files: DataFrame, schema: str, rows) -> DataFrame:
+    """One Arrow pass over files (path, text); ``rows`` gives the rows of one file. NULL texts give none."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            yield pd.DataFrame([r for path, text in zip(batch["path"], batch["text"]) for r in rows(path, text)], columns=names)
+
+    return files.where("text is not null").select("path", "text").mapInPandas(run, schema)
+
+
+def _rules_of(path: str, text: str) -> list[tuple]:
+    found = markdown.sections(text)
+    if not any(s.paragraphs for s in found):  # a file without headings is one section
+        prose = markdown.prose(text)
+        found = [markdown.Section("", 0, "", prose)] if prose else found
+    return [(path, s.anchor, s.heading, s.line, bool(s.paragraphs), [x for p in [s.heading, *s.paragraphs] for x in markdown.sentences(markdown.normalised(p))]) for s in found]
+
+
 def rule_sections(files: DataFrame) -> DataFrame:
     """(path, anchor, heading, line, is_rule, sentences) of files (path, text); the heading is the first sentence.
 
     A file without headings is one section called after itself. NULL texts give no sections.
     """
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sections(text)
-                if not any(s["paragraphs"] for s in found):
-                    prose = [ln.strip() for k, ln in line_kinds(text) if k == "text"]
-                    found = [{"heading": "", "line": 0, "anchor": "", "paragraphs": prose}] if prose else found
-                for s in found:
-                    parts = [x for p in [s["heading"], *s["paragraphs"]] for x in split_sentences(normalised(p))]
-                    rows.append((path, s["anchor"], s["heading"], s["line"], bool(s["paragraphs"]), parts))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["path", "anchor", "heading", "line", "is_rule", "sentences"])
-
-    return files.where("text is not null").select("path", "text").mapInArrow(run, _SECTIONS)
+    return _per_file(files, _SECTIONS, _rules_of)
 
 
 def heading_slugs(files: DataFrame) -> DataFrame:
     """(path, line, heading, slug, anchor) of every heading of files (path, text), whatever its length; NULL texts give none."""
+    return _per_file(files, "path string, line int, heading string, slug string, anchor string", lambda path, text: [(path, s.line, s.heading, markdown.slug(s.heading), s.anchor) for s in markdown.sections(text)])
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            rows = [(path, s["line"], s["heading"], slug(s["heading"]), s["anchor"]) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in sections(text)]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["path", "line", "heading", "slug", "anchor"])
+def section_digest(text: Column) -> Column:
+    """SHA-256 of a section, whatever its line ends and the blanks at them."""
+    ends = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+(?=\n|$)", "")
+    return F.sha2(ends.cast("binary"), 256)
+
+
+def _spoken(sentence: Column) -> Column:
+    """A sentence's words in lower case between single blanks, ``¶`` where a clause ends, denials of an exception taken out."""
+    words = F.regexp_replace(F.concat(F.lit(" "), F.lower(sentence), F.lit(" ¶ ")), r"\s-+\s|[.,;:!?)\]–—]", " ¶ ")
+    words = F.regexp_replace(words, r"[^\p{L}\p{N}_¶]+", " ")
+    for phrase in DENIALS:
+        for form in (phrase + "s", phrase):
+            words = F.replace(words, F.lit(f" {form} ¶"), F.lit(" ¶"))
+    return words
+
+
+def excepted(sentence: Column) -> Column:
+    """Does the sentence grant an exception, which unbinds the rule that it is part of?"""
+    words = _spoken(sentence)
+    phrases = F.lit(False)
+    for p in EXCEPTION_PHRASES:
+        phrases = phrases | F.contains(words, F.lit(f" {p} "))
+    return phrases | F.arrays_overlap(F.split(words, " "), F.array(*map(F.lit, EXCEPTIONS)))
+
+
+def conditional(sentence: Column) -> Column:
+    """Does the sentence hold a condition or a contrast, which unbinds it alone?"""
+    return F.arrays_overlap(F.split(_spoken(sentence), " "), F.array(*map(F.lit, CONDITIONS)))
+
 
-    return files.where("text is not null").select("path", "text").mapInArrow(run, "path string, line int, heading string, slug string, anchor string")
+def shapes_of(sentence: Column, shapes: list[tuple[str, str]]) -> Column:
+    """The detectors whose shape the sentence begins with."""
+    return F.array_compact(F.array(*[F.when(sentence.rlike(java_regex(rf"(?i)\A(?:{p})")), F.lit(d)) for d, p in shapes]))
 
 
 def bind_rules(files: DataFrame, shapes: list[tuple[str, str]]) -> DataFrame:
     """(path, anchor, state, detectors, reason) of every rule section; ``shapes``: (detector, pattern at the start of a sentence).
 
-    A sentence binds if it matches exactly one shape and neither an exception anywhere in the rule nor a
+    A sentence binds if it begins with exactly one shape and neither an exception anywhere in the rule nor a
     condition in the sentence unbinds it. A rule is ``measured`` if a sentence binds, else ``unmeasured``.
     """
-    clause_end = r"(?=\s*(?:[.,;:!?)\]–—]|$)|\s+-+(?:\s|$))"
-    denied = r"(?i)\b(?:" + "|".join(re.escape(d).replace(r"\ ", r"\s+") for d in DENIED_EXCEPTIONS) + r")s?" + clause_end
-    plain = lambda s: F.regexp_replace(s, denied, " ")
-    which = lambda s: F.array_compact(F.array(*[F.when(s.rlike(java_regex(r"(?i)\A(?:" + p + ")")), F.lit(d)) for d, p in shapes]))
-    df = rule_sections(files).where("is_rule")
-    df = df.withColumn("granted", F.exists("sentences", lambda s: plain(s).rlike("(?i)" + EXCEPTION_WORDS)))
-    found = F.transform("sentences", lambda s: F.struct(which(s).alias("d"), plain(s).rlike("(?i)" + CONDITION_WORDS).alias("c")))
-    df = df.withColumn("found", found)
-    bound = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("found", lambda x: (F.size(x["d"]) == 1) & ~x["c"]), lambda x: x["d"]))))
-    df = df.withColumn("detectors", F.when(F.col("granted"), F.array().cast("array<string>")).otherwise(bound))
-    matched = F.exists("found", lambda x: F.size(x["d"]) > 0)
-    reason = F.when(F.size("detectors") > 0, "").when(matched & (F.col("granted") | F.exists("found", lambda x: (F.size(x["d"]) > 0) & x["c"])), "an exception or a condition").when(matched, "several shapes").otherwise("no shape")
-    return df.select("path", "anchor", F.when(F.size("detectors") > 0, "measured").otherwise("unmeasured").alias("state"), "detectors", reason.alias("reason"))
+    rules = rule_sections(files).where("is_rule")
+    read = F.transform("sentences", lambda s: F.struct(shapes_of(s, shapes).alias("detectors"), conditional(s).alias("conditional"), excepted(s).alias("excepted")))
+    rules = rules.select("path", "anchor", read.alias("read"))
+    granted = F.exists("read", lambda s: s["excepted"])
+    some = F.filter("read", lambda s: F.size(s["detectors"]) > 0)
+    binding = F.filter("read", lambda s: (F.size(s["detectors"]) == 1) & ~s["conditional"])
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform(binding, lambda s: s["detectors"]))))
+    rules = rules.select("path", "anchor", F.when(granted, F.array().cast("array<string>")).otherwise(names).alias("detectors"), some.alias("some"), granted.alias("granted"))
+    held_back = F.col("granted") | F.exists("some", lambda s: s["conditional"])
+    reason = F.when(F.size("detectors") > 0, "").when(F.size("some") == 0, "no shape").when(held_back, "an exception or a condition").otherwise("several shapes")
+    return rules.select("path", "anchor", F.when(F.size("detectors") > 0, "measured").otherwise("unmeasured").alias("state"), "detectors", reason.alias("reason"))
 
 
 def coverage(bound: DataFrame) -> DataFrame:
