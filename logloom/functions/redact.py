@@ -24,9 +24,9 @@ TOKENS = (
     r"(?<![A-Za-z0-9_])AIza[A-Za-z0-9_-]{20,}",
     r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 )
-KEY_NAMES = r"(?<![A-Za-z0-9])[A-Za-z0-9_-]*(?:aws_secret_access_key|client_secret|api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token|private[_-]?key|passwd|password)(?![A-Za-z])"
-PEM_HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-PEM_FOOT = r"-----END [A-Z ]*PRIVATE KEY-----"
+KEY_NAMES = r"(?<![A-Za-z0-9])[A-Za-z0-9_-]*(?:aws_secret_access_key|client_secret|api[_-]?key|secret[_-]?key|private[_-]?key|passphrase|passwd|password|pwd|token|secret)(?![A-Za-z])"
+PEM_HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+PEM_FOOT = r"-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
 URL_LOGIN = r"://[^\s/@:]*:([^\s/@]+)@"
 
 
@@ -109,8 +109,8 @@ def shown(text) -> str:
     return redact(bare)
 
 
-def with_redacted(df, text: str = "text"):
-    """Adds ``redacted`` and ``n_secrets`` in one Arrow pass; a NULL text gives '' and 0."""
+def with_redacted(df, text: str = "text", spelled: bool = False):
+    """Adds ``redacted`` and ``n_secrets`` in one Arrow pass; a NULL text gives '' and 0. ``spelled``: as :func:`shown`."""
     from pyspark.sql import functions as F
 
     kept = [c for c in df.columns if c not in ("redacted", "n_secrets")]
@@ -122,7 +122,7 @@ def with_redacted(df, text: str = "text"):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             counts = [len(secret_spans(t)) if t else 0 for t in texts]
-            clean = [(redact(t) if n else t) or "" for t, n in zip(texts, counts)]
+            clean = [shown(t) if spelled else (redact(t) if n else t) or "" for t, n in zip(texts, counts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(clean, pa.string()), pa.array(counts, pa.int32())], names=[*batch.schema.names[:-1], "redacted", "n_secrets"])
 
     return df.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)

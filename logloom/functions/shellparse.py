@@ -359,7 +359,19 @@ def _git_message(args: list[str]) -> str | None:
 
 def normalise(command: str) -> str:
     """Blanks collapsed, a leading ``cd DIR &&`` gone."""
-    return re.sub(r"^cd\s+(?:[^\s\\]|\\.)+\s*&&\s*", "", " ".join(command.split())).strip()
+    words = command.split()
+    if words[:1] == ["cd"]:
+        rest = " ".join(words[1:])
+        i = joined = 0
+        while i < len(rest) and rest[i] != " ":  # the folder, to the first blank that no backslash hides
+            if i and rest.startswith("&&", i):
+                joined = i
+            i += 2 if rest[i] == "\\" else 1
+        if i and rest[i:].lstrip().startswith("&&"):
+            return rest[i:].lstrip()[2:].strip()
+        if joined:
+            return rest[joined + 2 :].strip()
+    return " ".join(words)
 
 
 PARSE = (

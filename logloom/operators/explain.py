@@ -41,5 +41,5 @@ def explain(hits: DataFrame, events: DataFrame, session: str | None = None, dete
     joined = with_calls(hits, events)
     if key is not None:
         joined = joined.where(F.col("key") == key)
-    clean = with_redacted(joined, "input").orderBy("runtime", "session_id", *explain_order())
+    clean = with_redacted(joined, "input", spelled=True).orderBy("runtime", "session_id", *explain_order())
     return clean.select(F.concat_ws(":", "runtime", "session_id").alias("address"), "detector", "key", "name", capped(F.col("redacted")).alias("shown"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.shellparse import with_parse
-from logloom.plans.spec import Compiled
+from logloom.plans.spec import Compiled, with_args
 from logloom.schema import SCHEMA_READ, SCHEMA_WRITTEN
 
 MIN_SESSIONS, FREQUENT_SHARE, MIN_OPPORTUNITIES = 20, 0.30, 20
@@ -18,8 +18,9 @@ _HITS = "runtime string, session_id string, detector string, turn int, tool_use_
 def parsed_events(events: DataFrame) -> DataFrame:
     """Events with the parse of their shell command; each command is parsed once, whatever the number of detectors."""
     bash = (F.col("kind") == "tool_use") & (F.col("name") == "Bash")
-    command = F.expr("case when schema_of_variant(try_variant_get(try_parse_json(input), '$.command', 'variant')) = 'STRING' then try_variant_get(try_parse_json(input), '$.command', 'string') else '' end")
-    return with_parse(events.withColumn("__bash", F.when(bash, F.coalesce(command, F.lit("")))), "__bash").drop("__bash")
+    args = F.try_parse_json("input")
+    command = F.when(F.schema_of_variant(F.try_variant_get(args, "$.command", "variant")) == "STRING", F.try_variant_get(args, "$.command", "string")).otherwise("")
+    return with_args(with_parse(events.withColumn("__bash", F.when(bash, F.coalesce(command, F.lit("")))), "__bash").drop("__bash"))
 
 
 def find_hits(events: DataFrame, detectors: list[Compiled], stances: dict[str, str] | None = None) -> DataFrame:
@@ -28,6 +29,7 @@ def find_hits(events: DataFrame, detectors: list[Compiled], stances: dict[str, s
     All detectors that look at one event at a time are evaluated in one pass over the events: their
     conditions become one array of names. Only detectors over sequences add a pass of their own.
     """
+    events = with_args(events)
     on = [d for d in detectors if d.enabled(stances)]
     single = [d for d in on if d.predicate is not None]
     parts = []
@@ -43,6 +45,7 @@ def find_hits(events: DataFrame, detectors: list[Compiled], stances: dict[str, s
 
 def find_opportunities(events: DataFrame, detectors: list[Compiled], stances: dict[str, str] | None = None) -> DataFrame | None:
     """(runtime, session_id, detector, turn, tool_use_id, followed) of the detectors that have opportunities."""
+    events = with_args(events)
     parts = [d.opportunities(events).withColumn("detector", F.lit(d.id)) for d in detectors if d.enabled(stances) and d.opportunities is not None]
     return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
@@ -97,10 +100,7 @@ def row_status(rows: DataFrame) -> DataFrame:
 
 def fold_names(df: DataFrame, fold: dict[str, str], column: str = "detector") -> DataFrame:
     """Retired detector names replaced by their present ones."""
-    if not fold:
-        return df
-    names = F.create_map(*[F.lit(x) for kv in fold.items() for x in kv])
-    return df.withColumn(column, F.coalesce(F.try_element_at(names, F.col(column)), F.col(column)))
+    return df.withColumn(column, _present(F.col(column), fold))
 
 
 def report_by_rule(rows: DataFrame, known: list[str], fold: dict[str, str] | None = None, min_sessions: int = MIN_SESSIONS, frequent_share: float = FREQUENT_SHARE, min_opportunities: int = MIN_OPPORTUNITIES) -> DataFrame:
@@ -111,28 +111,52 @@ def report_by_rule(rows: DataFrame, known: list[str], fold: dict[str, str] | Non
     ``rate`` is NULL below ``min_opportunities``. Detectors found only in rows are listed too.
     """
     spark, fold = rows.sparkSession, fold or {}
-    ok = row_status(rows).where("status = 'ok'")
-    counts = fold_names(ok.select("runtime", "session_id", F.explode("rules").alias("detector", "n")), fold).groupBy("runtime", "session_id", "detector").agg(F.sum("n").alias("n"))
-    failed = fold_names(ok.select("runtime", "session_id", F.explode("rules_errors").alias("e")).select("runtime", "session_id", "e.detector"), fold).distinct()
-    counts = counts.join(failed, ["runtime", "session_id", "detector"], "left_anti")
-    hits = counts.groupBy("detector").agg(F.sum("n").alias("hits"), F.count_if(F.col("n") > 0).alias("sessions"))
-    lost = failed.groupBy("detector").agg(F.count("*").alias("lost"))
-    followed = fold_names(ok.select("runtime", "session_id", F.explode("compliance").alias("detector", "c")).select("runtime", "session_id", "detector", "c.*"), fold)
-    followed = followed.join(failed, ["runtime", "session_id", "detector"], "left_anti").groupBy("detector").agg(*[F.sum(c).alias(c) for c in ("opportunities", "followed", "undecided")])
-    listed = spark.createDataFrame([(k,) for k in known], "detector string")
-    named = listed.unionAll(hits.select("detector")).distinct().withColumn("by_hits", F.lit(True))
-    names = named.join(followed, "detector", "full_outer")
-    total = ok.agg(F.count("*").alias("total"))
-    out = names.join(hits, "detector", "left").join(lost, "detector", "left").join(F.broadcast(total))  # one row of totals
-    of = F.col("total") - F.coalesce("lost", F.lit(0))
-    share = F.when(of > 0, F.coalesce("sessions", F.lit(0)) / of).otherwise(0.0)
-    note = F.when(of < min_sessions, "").when(share > frequent_share, "frequent").when((F.coalesce("hits", F.lit(0)) == 0) & F.coalesce("by_hits", F.lit(False)), "unobserved").otherwise("")
+    ok = row_status(rows).where("status = 'ok'").select("rules", "compliance", F.transform("rules_errors", lambda e: _present(e["detector"], fold)).alias("failed"))
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+
+    def entry(name, hits=zero, sessions=zero, by_hits=False, lost=zero, opportunities=none, followed=none, undecided=none, total=zero):
+        fields = {"detector": name, "hits": hits, "sessions": sessions, "by_hits": F.lit(by_hits), "lost": lost, "opportunities": opportunities, "followed": followed, "undecided": undecided, "total": total}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    # Each row tells all it has to say in one array, so that the rows are read once and grouped once. A session counts
+    # once for a detector, though several of its names may have been folded into one.
+    failed = lambda name: F.coalesce(F.array_contains("failed", name), F.lit(False))
+    counted = F.filter(F.transform(F.map_entries("rules"), lambda e: F.struct(_present(e["key"], fold).alias("name"), e["value"].alias("n"))), lambda e: ~failed(e["name"]))
+    kept = F.filter(F.transform(F.map_entries("compliance"), lambda e: F.struct(_present(e["key"], fold).alias("name"), e["value"].alias("c"))), lambda e: ~failed(e["name"]))
+    ok = ok.select(F.coalesce("failed", F.array().cast("array<string>")).alias("failed"), "rules", "compliance").select("failed", counted.alias("counted"), kept.alias("kept"))
+    positive = F.transform(F.filter("counted", lambda e: e["n"] > 0), lambda e: e["name"])
+    ok = ok.select("failed", "counted", "kept", positive.alias("positive"))
+    hits = F.transform("counted", lambda e: entry(e["name"], hits=e["n"], by_hits=True))
+    present = F.transform(F.array_distinct("positive"), lambda n: entry(n, sessions=F.lit(1).cast("long"), by_hits=True))
+    lost = F.transform(F.array_distinct("failed"), lambda n: entry(n, lost=F.lit(1).cast("long")))
+    share = F.transform(F.coalesce("kept", F.array().cast(_KEPT)), lambda e: entry(e["name"], opportunities=e["c"]["opportunities"], followed=e["c"]["followed"], undecided=e["c"]["undecided"]))
+    one = F.array(entry(F.lit(None).cast("string"), total=F.lit(1).cast("long")))
+    told = ok.select(F.explode(F.concat(hits, present, lost, share, one)).alias("t")).select("t.*")
+    listed = spark.createDataFrame([(k,) for k in known], "detector string").select(entry(F.col("detector"), by_hits=True).alias("t")).select("t.*")
+    sums = [F.sum(c).alias(c) for c in ("hits", "sessions", "lost", "opportunities", "followed", "undecided", "total")]
+    out = told.unionAll(listed).groupBy("detector").agg(*sums, F.max("by_hits").alias("by_hits"))
+    everything = Window.partitionBy(F.lit(0))  # one row per detector
+    out = out.withColumn("total", F.coalesce(F.max(F.when(F.col("detector").isNull(), F.col("total"))).over(everything), F.lit(0)))
+    out = out.where("detector is not null and (by_hits or opportunities is not null)")
+    of = F.col("total") - F.col("lost")
+    share = F.when(of > 0, F.col("sessions") / of).otherwise(0.0)
+    note = F.when(of < min_sessions, "").when(share > frequent_share, "frequent").when((F.col("hits") == 0) & F.col("by_hits"), "unobserved").otherwise("")
     return out.select(
-        "detector", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("sessions", F.lit(0)).alias("sessions"), of.alias("of"), share.alias("share"), note.alias("note"),
+        "detector", "hits", "sessions", of.alias("of"), share.alias("share"), note.alias("note"),
         "opportunities", "followed", "undecided", compliance_rate(F.col("opportunities"), F.col("followed"), min_opportunities).alias("rate"),
     )
 
 
+_KEPT = "array<struct<name:string,c:struct<opportunities:bigint,followed:bigint,undecided:bigint>>>"
+
+
+def _present(name, fold: dict[str, str]):
+    """The present name of a detector."""
+    if not fold:
+        return name
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in fold.items() for x in kv]), name), name)
+
+
 def compliance_rate(opportunities, followed, least: int = MIN_OPPORTUNITIES):
     return F.when((opportunities > 0) & (opportunities >= least), followed / opportunities)
 
@@ -152,10 +176,15 @@ def report_by_group(rows: DataFrame, by: str = "repo", top: int = 3) -> DataFram
         keyed = ok.withColumn("key", F.explode(F.when(F.coalesce(F.size("stances"), F.lit(0)) > 0, pairs).otherwise(F.array(F.lit("(no stances)")))))
     else:
         raise ValueError("by is repo or stance")
-    counts = keyed.select("key", F.explode_outer("rules").alias("detector", "n"), F.struct("runtime", "session_id").alias("s"))
-    sessions = keyed.groupBy("key").agg(F.count("*").alias("sessions"))
-    per = counts.where("detector is not null").groupBy("key", "detector").agg(F.sum("n").alias("n"))
-    return sessions.join(per.groupBy("key").agg(F.sum("n").alias("hits")), "key", "left").join(top_per_group(per, top), "key", "left").select("key", "sessions", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("top", F.array().cast("array<string>")).alias("top"))
+    # A row of its own counts the session, so the rows are grouped once; then one row per (key, detector) is left.
+    told = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("detector"), F.lit(1).cast("long").alias("n"))), F.transform(F.map_entries("rules"), lambda e: F.struct(e["key"].alias("detector"), e["value"].alias("n"))))
+    per = keyed.select("key", F.explode(told).alias("t")).groupBy("key", "t.detector").agg(F.sum("t.n").alias("n"))
+    named = F.col("detector").isNotNull()
+    ranked = per.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(named.desc(), F.col("n").desc(), "detector")))
+    best = F.array_sort(F.collect_list(F.when(named & (F.col("r") <= top), F.struct("r", "detector"))))
+    return ranked.groupBy("key").agg(
+        F.sum(F.when(~named, F.col("n"))).alias("sessions"), F.coalesce(F.sum(F.when(named, F.col("n"))), F.lit(0)).alias("hits"), F.transform(best, lambda x: x["detector"]).alias("top")
+    )
 
 
 def top_per_group(counts: DataFrame, k: int = 3) -> DataFrame:

@@ -50,6 +50,7 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").cast("string").alias("id"),
         F.col("event_type").alias("name"),
         F.col("props").alias("input"),
+        F.try_parse_json("props").alias("args"),
         F.concat(F.lit("a "), "event_type").alias("text"),
         (F.col("event_id") % 2 == 0).alias("final"),
         F.col("event_type").alias("model"),

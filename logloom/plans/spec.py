@@ -1,8 +1,9 @@
 """The declarative detector language, compiled to columns and sequence plans.
 
 A *matcher* is a mapping whose keys are and-ed; a list of values are alternatives. It compiles to one
-nullable BOOLEAN column over an events table with a ``parse`` column: true, false, or NULL for undecided.
-An event of the wrong kind is false, never NULL.
+nullable BOOLEAN column over an events table with the columns ``parse`` (of a shell command) and ``args`` (the
+input as a variant, parsed once for all matchers): true, false, or NULL for undecided. An event of the wrong kind
+is false, never NULL.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.kleene import all3, any3, not3
 from logloom.functions.patterns import PatternError, full_match, java_regex, name_glob, path_glob
+from logloom.functions.variants import once
 from logloom.operators import sequence
 from logloom.schema import SCHEMA_READ
 
@@ -75,16 +77,16 @@ def _path(name: str) -> str:
 
 def _field(name: str) -> Column:
     """The text of a dotted field of the input; '' where it is absent or no text."""
-    return F.when(F.startswith(_schema(name), F.lit("STRING")), F.try_variant_get(F.try_parse_json("input"), _path(name), "string")).otherwise(F.lit(""))
+    return F.when(F.startswith(_schema(name), F.lit("STRING")), F.try_variant_get("args", _path(name), "string")).otherwise(F.lit(""))
 
 
 def _schema(name: str) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("input"), _path(name), "variant")), F.lit("VOID"))
+    return F.coalesce(F.schema_of_variant(F.try_variant_get("args", _path(name), "variant")), F.lit("VOID"))
 
 
 def _equal(name: str, want: Any) -> Column:
     """Equality by type: a text never equals a number; true equals 1, as numbers do."""
-    raw, kind = F.try_variant_get(F.try_parse_json("input"), _path(name), "string"), _schema(name)
+    raw, kind = F.try_variant_get("args", _path(name), "string"), _schema(name)
     if want is None:
         return kind == "VOID"
     if isinstance(want, str):
@@ -160,7 +162,7 @@ def _command(value: Any) -> Column:
         tests.append(lambda s: F.exists(s["tokens"], lambda t: any3([F.contains(t, F.lit(p)) for p in parts])))
     if "none_of" in spec:
         none = _texts(spec["none_of"], "none_of")
-        tests.append(lambda s: ~F.arrays_overlap(F.slice(s["tokens"], 2, 100_000), F.array(*map(F.lit, none))))
+        tests.append(lambda s: ~F.arrays_overlap(F.slice(s["tokens"], 2, F.size(s["tokens"])), F.array(*map(F.lit, none))))
     if "arg_count" in spec:
         counted = _counted(spec["arg_count"])
         tests.append(lambda s: counted(s["n_operands"]))
@@ -312,6 +314,11 @@ def matcher(spec: Any, depth: int = 0) -> Column:
     return all3(out)
 
 
+def with_args(events: DataFrame) -> DataFrame:
+    """Events with ``args``; those that have it already are left alone."""
+    return events if "args" in events.columns else events.withColumn("args", once(F.try_parse_json("input")))
+
+
 HITS = ["runtime", "session_id", "turn", "tool_use_id", "pos"]
 
 
