@@ -7,6 +7,6 @@ from types import ModuleType
 
 def registered() -> list[ModuleType]:
     """The modules that hold QUERIES and ORACLES."""
-    from logloom.plans import records, reference
+    from logloom.plans import cases, records, reference
 
-    return [reference, records]
+    return [reference, cases, records]

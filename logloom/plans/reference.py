@@ -85,15 +85,29 @@ _filtered("tool_name", lambda: spec.matcher({"tool": ["click", "purchase"]}), "k
 _filtered("tool_glob", lambda: spec.matcher({"tool": {"glob": "p?rch*"}}), "kind = 'tool_use' AND name GLOB 'p?rch*'")
 _filtered("kind_filter", lambda: spec.matcher({"kind": ["tool_result", "user_prompt"]}), "kind IN ('tool_result', 'user_prompt')")
 _filtered("arg_exists", lambda: spec.matcher({"arg": {"field": "k", "exists": True}}), "kind = 'tool_use' AND json_extract(input, '$.k') IS NOT NULL")
-_filtered("arg_missing", lambda: spec.matcher({"arg": {"field": ["k", "a.b"], "exists": False}}), "kind = 'tool_use'")
 _filtered("arg_equals", lambda: spec.matcher({"arg": {"field": "k", "equals": [7, "8", 9.0]}}), "kind = 'tool_use' AND CAST(json_extract(input, '$.k') AS INTEGER) IN (7, 9)")
-_filtered("arg_regex", lambda: spec.matcher({"arg": {"field": "k", "regex": "^$"}}), "kind = 'tool_use'")
-_filtered("arg_contains", lambda: spec.matcher({"not": {"arg": {"field": "k", "contains": "7"}}}), "TRUE")
 _filtered("message_regex", lambda: spec.matcher({"message": {"regex": "(?i)^A V.EW$", "contains": "view"}}), "kind = 'assistant_text' AND regexp_matches(text, '(?i)^A V.EW$')")
 _filtered("message_final", lambda: spec.matcher({"message": {"final": True}}), "kind = 'assistant_text' AND final")
 _filtered("message_role", lambda: spec.matcher({"message": {"role": "user", "contains": ["sign", "x"]}}), "kind = 'user_prompt' AND contains(text, 'sign')")
 _filtered("text_assistant", lambda: spec.matcher({"text": {"source": "assistant", "regex": "zzz", "contains": "iew"}}), "kind = 'assistant_text' AND contains(text, 'iew')")
-_filtered("any_all_not", lambda: spec.matcher({"any": [{"tool": "click"}, {"all": [{"kind": "tool_use"}, {"not": [{"tool": "click"}, {"message": {}}]}]}]}), "kind = 'tool_use'")
+_filtered("any_all_not", lambda: spec.matcher({"any": [{"tool": "click"}, {"all": [{"kind": "tool_use"}, {"not": [{"tool": "click"}, {"arg": {"field": "k", "equals": [1, 2, 3]}}]}]}]}), "kind = 'tool_use' AND (name = 'click' OR COALESCE(CAST(json_extract(input, '$.k') AS INTEGER) NOT IN (1, 2, 3), TRUE))")
+
+
+def _written(name: str, matcher: dict, sql: str) -> None:
+    """A query of the documents, each read as a call whose input holds its fields."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        d = _table(spark, sf, "documents")
+        given = F.to_json(F.struct("text", "lang", "source"))
+        return _ids(d.select(F.lit("tool_use").alias("kind"), F.lit("Write").alias("name"), F.try_parse_json(given).alias("args"), F.col("doc_id").alias("pos")), spec.matcher(matcher))
+
+    run.__name__, run.__doc__ = name, f"Documents, read as calls, for which the matcher of {name} is true."
+    query(f"SELECT doc_id AS pos FROM documents WHERE {sql}")(run)
+
+
+_written("arg_missing", {"arg": {"field": ["lang", "text"], "exists": False}}, "lang IS NULL OR text IS NULL")
+_written("arg_regex", {"arg": {"field": ["text", "source"], "regex": ["timeout=[0-9]+", "^rule_f"]}}, "COALESCE(regexp_matches(text, 'timeout=[0-9]+'), FALSE) OR COALESCE(starts_with(source, 'rule_f'), FALSE)")
+_written("arg_contains", {"not": {"arg": {"field": "text", "contains": ["the", "7"]}}}, "NOT (COALESCE(contains(text, 'the'), FALSE) OR COALESCE(contains(text, '7'), FALSE))")
 
 
 def _undecided(low: float, high: float) -> Column:
@@ -499,7 +513,7 @@ def secret_assign_regex(spark, sf):
 
 _TEXT_FUNCTIONS: dict[str, tuple[Callable[[], Column], str]] = {
     "normalise": (lambda: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r]+", " "), r"^cd (?:[^\s\\]|\\.)+ ?&& ?", "")), r"trim(regexp_replace(regexp_replace(COALESCE(text, ''), '[ \t\n\r]+', ' ', 'g'), '^cd (?:[^\s\\]|\\.)+ ?&& ?', ''))"),
-    "slug": (lambda: F.regexp_replace(F.regexp_replace(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 60)), "[^a-z0-9 -]", ""), " +", "-"), "regexp_replace(regexp_replace(lower(substring(COALESCE(text, ''), 1, 60)), '[^a-z0-9 -]', '', 'g'), ' +', '-', 'g')"),
+    "slug": (lambda: F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9 -]", ""), " +", "-"), "regexp_replace(regexp_replace(lower(COALESCE(text, '')), '[^a-z0-9 -]', '', 'g'), ' +', '-', 'g')"),
     "section_sha256": (lambda: F.sha2(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), r"[ \t]+\n", "\n").cast("binary"), 256), r"sha256(regexp_replace(regexp_replace(COALESCE(text, ''), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'))"),
     "cap_text": (lambda: F.when(F.length("text") > 400, F.concat(F.substring("text", 1, 400), F.lit(" ... "), (F.length("text") - 400).cast("string"), F.lit(" more"))).otherwise(F.col("text")), "CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || ' ... ' || (length(text) - 400) || ' more' ELSE text END"),
     "redact_token": (lambda: F.regexp_replace(F.coalesce("text", F.lit("")), r"\b[0-9a-f]{32}\b", "[redacted]"), r"regexp_replace(COALESCE(text, ''), '\b[0-9a-f]{32}\b', '[redacted]', 'g')"),
@@ -548,6 +562,18 @@ def explain_order(spark, sf):
     return hits.select("session_id", "detector", "turn", "pos", F.row_number().over(Window.partitionBy("session_id").orderBy(*order())).cast("long").alias("place"))
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 0 WHEN l_discount = 1 THEN 100 ELSE greatest(1, least(99, CAST(round(100 * l_discount) AS INTEGER))) END AS shown FROM lineitem")
+def rate_display(spark, sf):
+    """Rates as whole percent: only none shows as 0."""
+    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", measure.rate_display(F.col("l_discount")).alias("shown"))
+
+
+@query(_SQL_HITS + """, by_rule AS (SELECT detector, count(*) AS hits FROM hits GROUP BY detector) SELECT detector, COALESCE(hits, 0) AS hits FROM known LEFT JOIN by_rule USING (detector) ORDER BY hits DESC, detector LIMIT 3""")
+def sorted_report(spark, sf):
+    """The three detectors with most hits: a top-k report."""
+    return measure.report_by_rule(_rows(spark, sf), [d["id"] for d in _DETECTORS]).orderBy(F.desc("hits"), "detector").limit(3).select("detector", "hits")
+
+
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 5")
 def limit_k(spark, sf):
     """The five largest sessions: a top-k report."""
