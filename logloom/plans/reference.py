@@ -603,8 +603,7 @@ def shell_segments(spark, sf):
 
 def _transcript(spark: SparkSession, sf: str) -> DataFrame:
     """The transcripts of runtime A as events. Side chains are sessions of their own, as in that runtime's folders; so are lines without a session."""
-    from logloom.plans.native import lines_of_a
-    from logloom.sources.transcripts import read_a
+    from logloom.sources.transcripts import read_a_table
 
     side = F.coalesce("is_sidechain", F.lit(False))
     table = _table(spark, sf, "session_lines").withColumns(
@@ -613,7 +612,7 @@ def _transcript(spark: SparkSession, sf: str) -> DataFrame:
             "agent_id": F.when(side, F.coalesce(F.nullif("agent_id", F.lit("")), F.lit("side"))).otherwise(F.col("agent_id")),
         }
     )
-    return read_a(lines_of_a(table, F.concat_ws("/", "session_id", F.when(side, F.col("agent_id")))))[0]
+    return read_a_table(table, F.concat_ws("/", "session_id", F.when(side, F.col("agent_id"))))[0]
 
 
 def _readable_inputs(events: DataFrame) -> DataFrame:

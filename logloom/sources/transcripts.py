@@ -101,6 +101,31 @@ def read_a(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         flag("isSidechain").alias("side"), of("agentId").alias("agent"), (flag("isMeta") | flag("isCompactSummary")).alias("meta"), of("toolDenialKind").alias("denial"),
         of("toolUseResult").alias("use_result"), of("message.id").alias("mid"), of("message.model").alias("model"), get("v", "message.content", "variant").alias("content"),
     )
+    return _events_of_a(rows)
+
+
+def read_a_table(table: DataFrame, path: Column) -> tuple[DataFrame, DataFrame]:
+    """Runtime A from a table with a column per field of a line (``session_lines``) and ``message`` as JSON: the same events.
+
+    ``path`` says which lines are one file; ``line_id`` orders them. Only the message is parsed, once. A row whose
+    message is unreadable or NULL has none; rows without a path give nothing.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    of = lambda name: F.expr(f"coalesce({_TEXT_OF.format('m', name)}, '')")
+    use_result = F.regexp_extract("tool_use_result", r'^\s*"([^"\\]*)"\s*$', 1) if "tool_use_result" in table.columns else F.lit(None).cast("string")
+    rows = table.select("*", once(F.try_parse_json("message")).alias("m"), path.alias("__path")).where("__path is not null")
+    return _events_of_a(
+        rows.select(
+            F.col("__path").alias("path"), F.col("line_id").alias("pos"), F.col("line_type").alias("type"), "subtype", text("ts").alias("ts"), text("session_id").alias("sid"), text("cwd").alias("cwd"),
+            flag("is_sidechain").alias("side"), text("agent_id").alias("agent"), (flag("is_meta") | flag("is_compact_summary")).alias("meta"), text("tool_denial_kind").alias("denial"),
+            F.coalesce(use_result, F.lit("")).alias("use_result"), of("id").alias("mid"), of("model").alias("model"), get("m", "content", "variant").alias("content"),
+        )
+    )
+
+
+def _events_of_a(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events and sessions of lines that are taken apart but for their content."""
     # A block that stands alone is read as a list of one.
     rows = rows.withColumn("content", F.expr("case when schema_of_variant(content) like 'OBJECT%' then to_variant_object(array(content)) else content end"))
     user, assistant = F.col("type") == "user", F.col("type") == "assistant"
